@@ -32,8 +32,10 @@ def with_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     """source, source_size -> and target: weights in order of the names (code points, null last), share
     times all words dealt out by weight, none above most times its source: the excess is dealt to the others.
 
-    Sorted by most * size / weight, the sources at their limit come first; a running sum shows where
-    they end, so no loop is needed. The table has one row a source.
+    Sorted by most * size / weight, the sources at their limit come first. level is what a unit of weight
+    would get if exactly the sources before stood at their limit: it falls from the first source
+    below its limit on, so that source's level is the highest of those below. No loop is needed. The
+    table has one row a source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -44,7 +46,7 @@ def with_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     t = t.withColumn("left", F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     t = t.withColumn("level", F.col("left") / F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     t = t.withColumn("full", F.col("level") * F.col("weight") > F.col("cap"))
-    t = t.withColumn("at", F.min(F.when(~F.col("full"), F.col("level"))).over(whole))
+    t = t.withColumn("at", F.max(F.when(~F.col("full"), F.col("level"))).over(whole))
     return t.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("at")).alias("target"))
 
 

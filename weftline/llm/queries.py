@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filters
+from . import exact_dedup, mixing, packing, url_filters
 from .shared import table
 
 
@@ -18,6 +18,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_tokenizer(packing.TOKENIZER))
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -34,7 +42,7 @@ levels AS (
   FROM weighed),
 marked AS (SELECT *, level * weight > cap AS is_full FROM levels),
 targets AS (
-  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (min(level) FILTER (WHERE NOT is_full) OVER ()) END AS target FROM marked),
+  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (max(level) FILTER (WHERE NOT is_full) OVER ()) END AS target FROM marked),
 rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM targets),
 goals AS (SELECT *, target - copies * source_size AS extra FROM rates),
@@ -62,5 +70,12 @@ FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AN
 GROUP BY page_id, host, path
 """
 
-QUERIES = {"op2_mix": op2_mix, "op6_url_filter": op6_url_filter}
-ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL}
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+h AS (SELECT doc_id, chars, sha256(norm) AS text_sha256 FROM t),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+QUERIES = {"op2_mix": op2_mix, "op6_url_filter": op6_url_filter, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
+ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
