@@ -5,9 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm import packing
+from weftline.llm import packing, shared
 
-PATH = packing.public_tokenizer(packing.TOKENIZER)
+PATH = shared.public_tokenizer(packing.TOKENIZER)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def test_ids_are_the_librarys(text):
 
 def test_remembered_forgets_but_stays_right():
     made = []
-    r = packing.Remembered(lambda k: made.append(k) or k * 2, 3)
+    r = shared.Remembered(lambda k: made.append(k) or k * 2, 3)
     for k in [*range(10), *range(10)]:
         assert r[k] == k * 2
     assert len(r) <= 3 and len(r.older) <= 3

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import Remembered, public_tokenizer
+
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 #: The id that ends a document.
@@ -36,30 +38,6 @@ CACHED_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
-def public_tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-class Remembered(dict):
-    """A dict that makes missing values. When it holds limit of them, they become the older
-    generation, and the one before that is forgotten."""
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
 
 class WordEncoder:
     """ids of a text, as the tokenizers library gives them, through a cache of words.

@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, url_filters
-from .shared import table
+from . import exact_dedup, mixing, packing, secret_scan, token_counts, url_filters
+from .shared import public_tokenizer, table
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.rules_frame(spark, url_filters.RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer(token_counts.VOCABULARY))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_tokenizer(packing.TOKENIZER))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer(packing.TOKENIZER))
 
 
 OP2_SQL = r"""
@@ -77,5 +85,5 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op2_mix": op2_mix, "op6_url_filter": op6_url_filter, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
+QUERIES = {"op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
 ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
