@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, secret_scan, token_counts, url_filters
+from . import exact_dedup, mixing, packing, quality_model, secret_scan, token_counts, toxicity, url_filters
 from .shared import public_tokenizer, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.rules_frame(spark, url_filters.RULES))
@@ -85,5 +93,5 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
 ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
