@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_model, secret_scan, token_counts, toxicity, url_filters
+from . import exact_dedup, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, url_filters
 from .shared import public_tokenizer, table
 
 
@@ -34,6 +34,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer(token_counts.VOCABULARY))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,5 +97,5 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
 ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
