@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, url_filters
+from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, url_filters
 from .shared import public_tokenizer, table
 
 
@@ -20,6 +20,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = near_dedup.mark_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+    return marks.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,5 +102,5 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op4_near_dedup": op4_near_dedup, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
 ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
