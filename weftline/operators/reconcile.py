@@ -37,15 +37,18 @@ def field_merge(rows: DataFrame, group: Sequence[str], pos: str = "pos", doc: st
     """group, merged: JSON objects merged field by field.
 
     The last value, the first, or the distinct values of all (arrays concatenated, others as one item) in order
-    of appearance. Fields come in the order of their first appearance. Values are taken from variants, so
-    that numbers, texts and nested values keep their kind.
+    of appearance. Fields come in the order of their first appearance. Numbers, texts and nested values keep
+    their kind.
     """
     for p in (default, *(policy or {}).values()):
         if p not in POLICIES:
             raise ValueError(f"unknown field policy: {p}")
-    parsed = rows.select(*group, F.col(pos).alias("_pos"), F.parse_json(F.col(doc)).alias("_v"))
+    parsed = rows.select(*group, F.col(pos).alias("_pos"), F.parse_json(F.col(doc)).alias("_v"), F.json_object_keys(F.col(doc)).alias("_keys"), F.from_json(F.col(doc), "map<string,string>").alias("_texts"))
     fields = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    fields = fields.where(F.col("key").isNotNull() & ~F.col("key").isin(*RESERVED)).select(*group, "_pos", F.col("pos").alias("_key_pos"), "key", F.col("value"), F.to_json("value").alias("_json"))
+    # a variant sorts the keys of objects, so nested values keep their own text; variants tell texts from the rest
+    kind = F.schema_of_variant("value")
+    json = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.col("_texts")[F.col("key")]).otherwise(F.to_json("value"))
+    fields = fields.where(F.col("key").isNotNull() & ~F.col("key").isin(*RESERVED)).select(*group, "_pos", F.array_position("_keys", F.col("key")).alias("_key_pos"), "key", F.col("value"), json.alias("_json"))
     is_array = F.schema_of_variant("value").startswith("ARRAY")
     items = F.when(is_array, F.transform(F.from_json("_json", "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array("_json"))
     fields = fields.withColumn("_items", items)

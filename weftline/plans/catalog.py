@@ -7,11 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import formats, redact, values
+from weftline.functions import formats, images, pdf, redact, values
 from weftline.operators import combinators as c
 from weftline.operators import folds, reconcile, runs, telemetry
 from weftline.plans import spec
-from weftline.sources import blobs
+from weftline.sources import archive, blobs
+from weftline.streaming import twins
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -568,3 +569,87 @@ def metric_gauge(spark, table):
 SELECT tag, name, count(*) AS count, sum(d)::BIGINT AS sum, [""" + ", ".join(f"count(*) FILTER ({f'd > {a}' if a else 'true'} AND {f'd <= {b}' if b else 'true'})" for a, b in zip((None, *telemetry.BOUNDS), (*telemetry.BOUNDS, None), strict=True)) + "] AS buckets FROM d GROUP BY tag, name")
 def metric_histogram(spark, table):
     return telemetry.durations(_trace(table))
+
+
+# ---------- archives, images, PDF ----------
+
+
+def _archived(kind):
+    def run(spark, table):
+        """Nations packed by region and unpacked again."""
+        rows = table("nation").select("n_regionkey", F.concat("n_name", F.lit(".txt")).alias("name"), F.col("n_name").cast("binary").alias("content"), (F.lit(1_600_000_000_000) + F.col("n_nationkey") * 60_000).alias("at"))
+        packed = archive.pack(rows, "n_regionkey", kind, mtime="at")
+        return archive.unpack(packed, kind, "archive", ("bundle",)).select(F.col("bundle").alias("n_regionkey"), "name", "bytes", "text", "mtime", "error")
+
+    run.__name__ = f"archive_{kind.replace('.', '_')}_round_trip"
+    when = "NULL::BIGINT" if kind == "none" else "1600000000000 + n_nationkey * 60000"
+    return query(f"SELECT n_regionkey, n_name || '.txt' AS name, strlen(n_name)::BIGINT AS bytes, n_name AS text, {when} AS mtime, NULL::VARCHAR AS error FROM nation")(run)
+
+
+for _kind in ("zip", "tar", "tar.gz"):
+    _archived(_kind)
+
+
+@query("SELECT n_nationkey, n_name || '.txt' AS name, n_name AS text, 1600000000000 + n_nationkey * 1000 AS mtime FROM nation")
+def archive_gzip_round_trip(spark, table):
+    rows = table("nation").select("n_nationkey", F.concat("n_name", F.lit(".txt")).alias("name"), F.col("n_name").cast("binary").alias("content"), (F.lit(1_600_000_000_000) + F.col("n_nationkey") * 1000).alias("at"))
+    packed = archive.pack(rows, "n_nationkey", "gzip", mtime="at")
+    return archive.unpack(packed, "gzip", "archive", ("bundle",)).select(F.col("bundle").alias("n_nationkey"), "name", "text", "mtime")
+
+
+@query("SELECT r_regionkey, 'png' AS kind, (24 + length(r_name))::BIGINT AS stripped_bytes, NULL::VARCHAR AS error FROM region")
+def image_scrub(spark, table):
+    """A PNG for each region with its name as a text chunk, scrubbed."""
+    chunk = lambda kind, data: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), F.lit(kind).cast("binary"), data, F.unhex(F.lpad(F.hex(F.crc32(F.concat(F.lit(kind).cast("binary"), data))), 8, "0")))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), chunk("IHDR", F.unhex(F.lit("00000001000000010800000000"))), chunk("tEXt", F.concat(F.lit("Author").cast("binary"), F.unhex(F.lit("00")), F.lit("Mx. ").cast("binary"), F.unhex(F.lit("00")), F.col("r_name").cast("binary"))), chunk("IEND", F.lit("").cast("binary")))
+    out = table("region").select("r_regionkey", images.scrubbed(png).alias("s"))
+    return out.select("r_regionkey", "s.kind", "s.stripped_bytes", "s.error")
+
+
+@query("SELECT r_regionkey, 1 + r_regionkey AS pages, true AS smaller, NULL::VARCHAR AS error FROM region")
+def pdf_pages_and_shrink(spark, table):
+    """A PDF for each region with as many pages as its key says, and metadata."""
+    kids = F.array_join(F.transform(F.sequence(F.lit(0), F.col("r_regionkey")), lambda i: F.concat((i + 10).cast("string"), F.lit(" 0 R"))), " ")
+    pages = F.array_join(F.transform(F.sequence(F.lit(0), F.col("r_regionkey")), lambda i: F.concat((i + 10).cast("string"), F.lit(" 0 obj\n<</Type/Page/Parent 2 0 R/MediaBox[0 0 300 400]>>\nendobj\n"))), "")
+    meta = F.concat(F.lit("<x:xmpmeta>"), F.repeat(F.col("r_name"), 200), F.lit("</x:xmpmeta>"))
+    text = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R/Metadata 3 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Count 9/Kids["), kids, F.lit("]>>\nendobj\n3 0 obj\n<</Type/Metadata/Subtype/XML/Length "),
+        F.length(meta).cast("string"), F.lit(">>\nstream\n"), meta, F.lit("\nendstream\nendobj\n4 0 obj\n<</Author(A (nested\\) one\\\\))>>\nendobj\n"), pages, F.lit("trailer\n<</Root 1 0 R/Info 4 0 R>>\nstartxref\n0\n%%EOF\n"),
+    )
+    out = table("region").select("r_regionkey", pdf.shrunk(text.cast("binary")).alias("s"))
+    return out.select("r_regionkey", F.col("s.pages").cast("int").alias("pages"), (F.col("s.saved_pct") > 0).alias("smaller"), "s.error")
+
+
+# ---------- streams ----------
+
+
+def streamed(spark, table, of) -> DataFrame:
+    """The decisions of a stream over the events, read as files with all that is there, in one run."""
+    import uuid
+
+    events = table("events")
+    source = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), _ms().alias("at_ms"), (1 + F.col("event_id") % 5).cast("double").alias("cost"), (F.col("event_type") != "error").alias("ok"))
+    base = spark.conf.get("spark.checkpoint.dir", "/tmp/weftline-streams").rstrip("/") + f"/weftline-stream-{uuid.uuid4().hex[:12]}"
+    source.coalesce(1).write.parquet(f"{base}/in")
+    calls = spark.readStream.schema(source.schema).parquet(f"{base}/in")
+    run = twins.folded(calls, of).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("key long, call_id long, decision string").parquet(f"{base}/out")
+
+
+@query(ORACLES["token_bucket"])
+def stream_token_bucket(spark, table):
+    out = streamed(spark, table, twins.bucket(10, 0.000001))
+    return out.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("calls"), F.count_if(F.col("decision") == "granted").alias("granted"), F.count_if(F.col("decision") == "denied").alias("denied"))
+
+
+@query(ORACLES["circuit_breaker"].replace("SELECT user_id, i AS calls, allowed, refused, opened, closed_again, state FROM r", "SELECT user_id, i AS calls, allowed, refused, opened, closed_again FROM r"))
+def stream_circuit_breaker(spark, table):
+    d = F.col("decision")
+    return streamed(spark, table, twins.breaker(2, 86_400_000, 2)).groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("calls"), F.count_if(d != "refused").alias("allowed"), F.count_if(d == "refused").alias("refused"), F.count_if(d == "opened").alias("opened"), F.count_if(d == "closed").alias("closed_again"))
+
+
+@query(ORACLES["aimd_limit"].replace('decreases, lim AS "limit" FROM r', "decreases FROM r"))
+def stream_aimd(spark, table):
+    d = F.col("decision")
+    return streamed(spark, table, twins.limiter()).groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("calls"), F.count_if(d == "increase").alias("increases"), F.count_if(d == "decrease").alias("decreases"))
