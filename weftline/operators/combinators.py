@@ -1,8 +1,8 @@
 """The dataflow algebra over rows: a step is a function from a Column to a Column.
 
 A value that flows through a pipeline is a row's column; arrays of values are array columns. All steps of
-one pipeline are one expression, so Catalyst sees them as one projection. Where the original algebra settles
-by time (race), here declared order decides.
+one pipeline are one expression, so Catalyst sees them as one projection. A race has no clock here: of its
+branches that succeed, the first in declared order wins.
 """
 
 from __future__ import annotations

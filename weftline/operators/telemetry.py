@@ -71,3 +71,57 @@ def durations(trace: DataFrame, bounds: Sequence[float] = BOUNDS) -> DataFrame:
     edges = [None, *bounds, None]
     inside = [F.count_if((F.lit(True) if low is None else d > low) & (F.lit(True) if high is None else d <= high)) for low, high in zip(edges, edges[1:], strict=False)]
     return trace.where("kind = 'node-exit'").groupBy("tag", F.coalesce("name", F.lit("")).alias("name")).agg(F.count("*").alias("count"), F.sum("duration_ms").alias("sum"), F.array(*inside).alias("buckets"))
+
+
+def _attributes(pairs: dict[str, Column]) -> Column:
+    """OTLP attributes of text columns; nulls are left out."""
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value")) for k, v in pairs.items())), lambda a: a["value"]["stringValue"].isNotNull())
+
+
+def nanos(ms: Column) -> Column:
+    return F.concat(F.round(ms).cast("long").cast("string"), F.lit("000000"))
+
+
+def otlp_spans(done: DataFrame, service: str, batch: int = 512) -> DataFrame:
+    """payload: OTLP/JSON requests of at most about batch spans each, from spans()."""
+    status = F.struct(F.when(F.col("status") == "OK", F.lit(1)).otherwise(F.lit(2)).alias("code"), F.col("error").alias("message"))
+    span_id = lambda c: F.substring(F.sha2(F.concat_ws(":", "trace_id", c), 256), 1, 16)
+    span = F.struct(
+        "trace_id", span_id("call_id").alias("spanId"), F.when(F.col("parent_call_id").isNotNull(), span_id("parent_call_id")).alias("parentSpanId"), "name", F.lit(1).alias("kind"),
+        nanos(F.col("start_ms")).alias("startTimeUnixNano"), nanos(F.col("end_ms")).alias("endTimeUnixNano"), _attributes({"op.name": F.nullif(F.substring_index("name", ":", -1), F.col("name")), "op.path": F.col("path")}).alias("attributes"), status.alias("status"),
+    ).withField("traceId", F.col("trace_id")).dropFields("trace_id")
+    parts = done.withColumn("_part", F.pmod(F.xxhash64("trace_id", "call_id"), F.greatest(F.lit(1), F.ceil(F.lit(1.0 * done.count() / batch))).cast("long")))
+    grouped = parts.select("_part", span.alias("s")).groupBy("_part").agg(F.collect_list("s").alias("spans"))
+    return grouped.select(_payload("resourceSpans", "scopeSpans", F.struct("spans"), service))
+
+
+def otlp_metrics(counts: DataFrame, service: str, at_ms: int) -> DataFrame:
+    """payload: one OTLP/JSON request of cumulative sums, from counters() or limit_gauge() (a row a metric and name)."""
+    point = F.struct(_attributes({"op.name": F.nullif("name", F.lit(""))}).alias("attributes"), F.lit(f"{at_ms}000000").alias("timeUnixNano"), F.col("value").cast("string").alias("asInt"))
+    metric = counts.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("name", point.alias("p")))).alias("ps"))
+    shaped = metric.select(F.struct(F.col("metric").alias("name"), F.struct(F.transform("ps", lambda p: p["p"]).alias("dataPoints"), F.lit(2).alias("aggregationTemporality"), F.lit(True).alias("isMonotonic")).alias("sum")).alias("m"))
+    return shaped.agg(F.collect_list("m").alias("metrics")).select(_payload("resourceMetrics", "scopeMetrics", F.struct("metrics"), service))
+
+
+def _payload(outer: str, inner: str, body: Column, service: str) -> Column:
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
+    scope = F.array(body.withField("scope", F.struct(F.lit("weftline").alias("name"))))
+    return F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), scope.alias(inner))).alias(outer))).alias("payload")
+
+
+def post(payloads: DataFrame, send) -> DataFrame:
+    """payload, ok, error: each request sent by send(text) from the workers. What fails is kept for the next flush."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for p in frame["payload"]:
+                try:
+                    send(p)
+                    rows.append((p, True, None))
+                except Exception as e:
+                    rows.append((p, False, str(e)))
+            yield pd.DataFrame(rows, columns=["payload", "ok", "error"])
+
+    return payloads.select("payload").mapInPandas(run, "payload string, ok boolean, error string")
