@@ -25,5 +25,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     own = own.where(remainder(F.col("label_id"), folds) != held).groupBy("label_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     few = materialize(own.orderBy(F.xxhash64("label_id", F.lit(label)), "label_id").limit(rows), f"{label}-rows")
     joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
-    joined = joined.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"))
-    return materialize(joined.limit(2 * rows), f"{label}-texts")  # an id may be repeated in docs; the bound holds all the same
+    joined = joined.dropDuplicates(["label_id"])  # an id may be repeated in docs; the bound holds all the same
+    joined = joined.select("text", "y", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"))
+    return materialize(joined, f"{label}-texts")
