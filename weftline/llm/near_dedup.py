@@ -7,12 +7,12 @@
    child) by a hash of its path, and a class goes to the child of its minwise token under each. Most
    nodes hold a class alone after one step and are dropped.
 3. Nodes of few classes are compared exhaustively by their sketches. A node of many is branched
-   further, unless most of it is similar to one of its members: then branching can't split it. Such a
+   further, unless most of it is similar to its most central member: then branching can't split it. Such a
    node's classes are compared with that member, and what this doesn't join with it is later
-   compared with all of the node, in blocks.
-4. What looks similar is confirmed on the full sets. From a node of many similar classes only a spanning
-   star of links goes there at first; pairs that are then still in different components follow in a second
-   round. So no group emits all its pairs, and no pair of a common node is left undecided.
+   compared with all of the node, in blocks, on full sets.
+4. What looks similar is confirmed on the full sets. From a node of many similar classes only stars of
+   links around central classes go there at first; pairs that are then still in different components follow in a
+   second round. So no group emits all its pairs, and no pair of a common node is left undecided.
 5. Links become components by rounds of label propagation in tables.
 
 Trees are repeated until a pair at the threshold meets with the target recall: 12 trees miss a pair of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import if_small, materialize
+from .shared import ID_ROWS, if_small, materialize
 
 #: Words of a shingle and least similarity (in hundredths) of linked documents.
 SHINGLE, ALIKE = 5, 80
@@ -41,8 +41,6 @@ SKETCH, TREES, LEVELS = 128, 12, 6
 SMALL = 200
 #: Estimated similarity from which a pair is confirmed: four standard deviations of the estimate below the threshold.
 LOOKS = ALIKE / 100 - 4 * (0.8 * 0.2 / SKETCH) ** 0.5
-#: Ids in a list that is broadcast at most (8 bytes each).
-ID_ROWS = 500_000
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 FACTORS = np.random.default_rng(20240101).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,6 +122,35 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.lit(float(SKETCH))
 
 
+def consensus(rows: DataFrame) -> DataFrame:
+    """key, middle: for each function the value that most of a large node's classes have, from about SMALL of them. It only
+    guides the choice of a pivot."""
+
+    def middle(group: pa.Table) -> pa.Table:
+        sk = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        modes = []
+        for column in sk.T:
+            values, counts = np.unique(column, return_counts=True)
+            modes.append(values[counts.argmax()])
+        return pa.table({"key": group.column("key")[:1], "middle": pa.array([np.array(modes, np.int32)], pa.list_(pa.int32()))})
+
+    few = rows.where(F.pmod(F.xxhash64("cls", F.lit("few")), F.ceil(F.col("n") / SMALL)) == 0)
+    return few.select("key", "sketch").groupBy("key").applyInArrow(middle, "key long, middle array<int>")
+
+
+def with_pivot(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large nodes (key, n, cls, sketch) with their node's pivot, the class closest to its consensus, and
+    the estimated similarity to it; materialized."""
+    middles = materialize(consensus(rows), "middles")
+    near = rows.join(if_small(middles, 10_000), "key").withColumn("near", agreement(F.col("sketch"), F.col("middle")))
+    pivots = near.groupBy("key").agg(F.max("near").alias("best"))
+    pivots = near.select("key", "cls", "near").join(if_small(materialize(pivots, "best"), 10_000), "key").where(F.col("near") == F.col("best")).groupBy("key").agg(F.min("cls").alias("pivot"))
+    own = classes.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+    pivots = materialize(pivots.join(own, "pivot"), "pivots")
+    out = rows.join(if_small(pivots, 10_000), "key").withColumn("agree", agreement(F.col("sketch"), F.col("pivot_sketch"))).drop("pivot_sketch")
+    return materialize(out, "rows-with-pivot")
+
+
 def grown(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Members (key, cls) of the nodes to compare: small ones, each set of members once; and large ones, with
     each node's pivot and the classes' agreement with it (key, cls, pivot, agree), or None."""
@@ -132,18 +159,16 @@ def grown(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for level in range(LEVELS):
         rows = branched(rows)
         h = F.xxhash64("cls")
-        nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y"), F.min("cls").alias("pivot"))
+        nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y"))
         nodes = materialize(nodes.where("n > 1"), f"nodes{level}")
         few = nodes.where(F.col("n") <= SMALL)
         small.append(rows.select("key", "cls").join(few.select("key"), "key"))
         sizes.append(few)
-        many = nodes.where(F.col("n") > SMALL).select("key", "n", "pivot")
+        many = nodes.where(F.col("n") > SMALL).select("key", "n")
         if many.isEmpty():
             break
-        pivots = classes.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        many = materialize(many.join(pivots, "pivot"), f"large{level}")
-        rows = rows.join(if_small(many, 10_000), "key").withColumn("agree", agreement(F.col("sketch"), F.col("pivot_sketch"))).drop("pivot_sketch")
-        rows = materialize(rows, f"rows{level}")
+        rows = materialize(rows.join(if_small(many, ID_ROWS), "key"), f"rows{level}")
+        rows = with_pivot(rows, classes)
         # most of a stuck node is similar to its pivot
         stuck = rows.groupBy("key").agg(F.avg((F.col("agree") >= LOOKS).cast("int")).alias("part")).where(F.col("part") >= (0.5 if level < LEVELS - 1 else 0.0)).select("key")
         stuck = materialize(stuck, f"stuck{level}")
@@ -171,15 +196,13 @@ def pairs_of_group(cls: np.ndarray, sketches: np.ndarray, comp: np.ndarray | Non
     if comp is not None:
         alike &= comp[:, None] != comp
     elif n > ALL_PAIRS:
-        taken = np.zeros(n, bool)
-        for i in range(n):
-            own = alike[i] & ~taken
-            own[: i + 1] = False
-            if taken[i]:
-                alike[i] = False
-            else:
-                alike[i] = own
+        taken, stars = np.zeros(n, bool), np.zeros((n, n), bool)
+        for i in np.argsort(-alike.sum(1), kind="stable"):  # the most central first
+            if not taken[i]:
+                own = alike[i] & ~taken
+                stars[i] = own
                 taken |= own
+        alike = stars | stars.T
     a, b = np.nonzero(np.triu(alike, 1))
     return cls[a], cls[b]
 
@@ -228,50 +251,78 @@ def alike_in_nodes(rows: DataFrame, with_comp: bool) -> DataFrame:
     return rows.select(*columns).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(find, "a long, b long").distinct()
 
 
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cls, s: the sets of the wanted classes, made again from texts; materialized."""
+    wanted = materialize(classes.select("cls", "sig", "min_id").join(wanted, "cls", "left_semi"), "wanted")
+    ids = if_small(wanted.select(F.col("min_id").alias("wanted_id")).distinct(), ID_ROWS)
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    found = sets_of(texts, k).join(wanted.select("cls", "sig"), "sig").groupBy("cls").agg(F.first("shingles").alias("s"))
+    return materialize(found, "sets")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, materialized. Sets are made again from the texts of the pairs' classes."""
     sizes = classes.select("cls", "n")
     pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
     pairs = materialize(pairs.where(100 * F.least("na", "nb") >= ALIKE * F.greatest("na", "nb")), "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = materialize(classes.select("cls", "sig", "min_id").join(wanted, "cls", "left_semi"), "wanted")
-    ids = if_small(wanted.select(F.col("min_id").alias("wanted_id")).distinct(), ID_ROWS)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    found = sets_of(texts, k).join(wanted.select("cls", "sig"), "sig").groupBy("cls").agg(F.first("shingles").alias("s"))
-    found = materialize(found, "sets")
+    found = full_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, docs, k)
     both = pairs.join(found.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
     return materialize(both.where(100 * F.col("i") >= ALIKE * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
 
 
-def across(large: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """a, b: pairs that look similar and are in different components, of each large node.
+#: Classes outside a node's main component that meet with a block at once.
+OUTSIDE = 1000
+
 
-    A node's main component is what most of its classes are in. Classes outside it go to all blocks of the node
-    (a block has about SMALL classes), the others to one each.
+def across(large: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
+    """a, b: links between classes of different components, for each large node; None if no node has several.
+
+    A node's main component is what most of its classes are in. Classes outside it, in parts, meet all blocks of the
+    node (of about SMALL classes). Full sets travel with them and are compared on the spot; pairs that the
+    links found so far join already are skipped, so a meeting gives less links than it has classes.
     """
-    rows = large.select("key", "cls").join(comp, "cls")
+    rows = large.select("key", "cls").distinct().join(comp, "cls")
     counts = rows.groupBy("key", "comp").count()
-    nodes = counts.groupBy("key").agg(F.max_by("comp", "count").alias("main"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    rows = rows.join(if_small(materialize(nodes, "mixed"), 20_000), "key").withColumn("blocks", F.ceil(F.col("n") / SMALL).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    outside = F.col("comp") != F.col("main")
-    rows = rows.select("key", "cls", "comp", outside.alias("outside"), "own", F.explode(F.when(outside, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
-    rows = rows.select("key", "block", "cls", "comp", "outside", (F.col("own") == F.col("block")).alias("home")).join(classes.select("cls", "sketch"), "cls")
+    nodes = counts.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("in_main"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    nodes = materialize(nodes, "mixed")
+    if nodes.isEmpty():
+        return None
+    rows = rows.join(if_small(nodes, 20_000), "key")
+    rows = rows.withColumns({"outside": F.col("comp") != F.col("main"), "blocks": F.ceil(F.col("n") / SMALL).cast("int"), "parts": F.ceil((F.col("n") - F.col("in_main")) / OUTSIDE).cast("int")})
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int")})
+    rows = materialize(rows, "mixed-rows")
+    home = rows.select("key", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("visits"))
+    visits = rows.where("outside").select("key", "cls", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(True).alias("visits"))
+    sets = full_sets(rows.select("cls").distinct(), classes, docs, k)
+    both = home.unionByName(visits.select(*home.columns)).join(sets, "cls").join(classes.select("cls", "sketch"), "cls")
 
     def find(group: pa.Table) -> pa.Table:
-        cls, comps = group.column("cls").to_numpy(), group.column("comp").to_numpy()
-        outside, home = group.column("outside").to_numpy(), group.column("home").to_numpy()
-        sk = np.array(group.column("sketch").to_pylist(), np.int32).reshape(len(cls), -1)
-        at_home, out_a, out_b = np.flatnonzero(home), [], []
-        for i in np.flatnonzero(outside):
-            hit = at_home[((sk[at_home] == sk[i]).mean(1) >= LOOKS) & (comps[at_home] != comps[i])]
-            out_a.append(np.minimum(cls[hit], cls[i]))
-            out_b.append(np.maximum(cls[hit], cls[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "block").applyInArrow(find, "a long, b long").distinct()
+        cls, comps, visits = (group.column(c).to_numpy() for c in ("cls", "comp", "visits"))
+        sk = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1)
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in group.column("s")]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        here, links = np.flatnonzero(~visits), []
+        for i in np.flatnonzero(visits):
+            agree = (sk[here] == sk[i]).mean(1)
+            order = np.argsort(-agree, kind="stable")
+            for j in here[order[: int((agree >= LOOKS).sum())]]:
+                a, b = root(int(comps[i])), root(int(comps[j]))
+                if a == b:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= ALIKE * (len(sets[i]) + len(sets[j]) - common):
+                    links.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+                    joined[max(a, b)] = min(a, b)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return materialize(both.groupBy("key", "part", "block").applyInArrow(find, "a long, b long").distinct(), "across")
 
 
 def class_components(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -279,9 +330,10 @@ def class_components(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     members, large = grown(classes)
     small = members.join(classes.select("cls", "sketch"), "cls")
     pairs = alike_in_nodes(small, False)
-    if large is not None:
+    if large is not None:  # stars
         stars = large.where((F.col("cls") != F.col("pivot")) & (F.col("agree") >= LOOKS)).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
         pairs = pairs.unionByName(stars).distinct()
+    pairs = materialize(pairs, "first")
     links = confirmed(pairs, classes, docs, k)
     comp = components(links)
     every = classes.select("cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
@@ -290,15 +342,13 @@ def class_components(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     apart = crowded.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     crowded = materialize(crowded.join(materialize(apart, "apart"), "key", "left_semi"), "crowded")
     more = alike_in_nodes(crowded.join(classes.select("cls", "sketch"), "cls"), True)
-    if large is not None:
-        more = more.unionByName(across(large, classes, every)).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "second")
-    if more.isEmpty():
-        return comp.withColumnRenamed("node", "cls")
-    found = confirmed(more, classes, docs, k)
-    if found.isEmpty():
-        return comp.withColumnRenamed("node", "cls")
-    return components(links.unionByName(found)).withColumnRenamed("node", "cls")
+    found = links
+    if not more.isEmpty():
+        found = found.unionByName(confirmed(more, classes, docs, k))
+    if large is not None and (new := across(large, classes, every, docs, k)) is not None:
+        found = found.unionByName(new)
+    return (comp if found is links else components(found)).withColumnRenamed("node", "cls")
 
 
 def mark_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

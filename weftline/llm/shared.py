@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side of a join is broadcast only after it was counted and has at most so many (narrow) rows.
 BROADCAST_ROWS = 50_000
+#: The same for lists of single ids or fingerprints (8 bytes each).
+ID_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
