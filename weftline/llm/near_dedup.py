@@ -69,8 +69,8 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
 def sketch(s: np.ndarray) -> np.ndarray:
     """Least value of a set under each hash function."""
     least = np.full(SKETCH, 2**32 - 1, np.uint32)
-    for at in range(0, len(s), 4096):
-        part = s[at : at + 4096]
+    for at in range(0, len(s), 1024):
+        part = s[at : at + 1024]
         np.minimum(least, ((part[:, None] * FACTORS[0] + FACTORS[1]) >> np.uint64(32)).min(0).astype(np.uint32), out=least)
     return least
 

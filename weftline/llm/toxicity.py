@@ -29,6 +29,8 @@ TERMS = 20_000
 #: Least likelihood ratios (twice the log) of the three tiers of the lexicon, and how much more frequent a term must be.
 STRONG, WEAK, FAINT, LIFT = 60.0, 18.0, 7.0, 4.0
 PREFIXES = (4, 5, 6)
+#: Distinct words whose terms a task remembers, and terms it counts before it passes them on.
+CACHED_WORDS, COUNTED_TERMS = 100_000, 100_000
 #: Words within this distance of one of the lexicon are near it.
 NEAR = 5
 
@@ -88,7 +90,7 @@ class Measure:
     """Features of texts by one lexicon."""
 
     def __init__(self, words: Lexicon):
-        self.of = Remembered(words.of, 500_000)
+        self.of = Remembered(words.of, CACHED_WORDS)
 
     def __call__(self, text: str) -> list[float]:
         low = text.lower()
@@ -127,13 +129,22 @@ def count_terms(texts: DataFrame) -> DataFrame:
     """term, part, pos, neg: documents of the sample with each term, by part of the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int, int], int] = {}
+
+        def counted() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array([v * k[2] for k, v in seen.items()], pa.int64()), pa.array([v * (1 - k[2]) for k, v in seen.items()], pa.int64())], ["term", "part", "pos", "neg"])
+            seen.clear()
+            return made
+
         for b in batches:
-            seen: dict[tuple[str, int, int], int] = {}
-            for t, y, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for term in {x for w in set(WORDS.findall(t.lower())) if len(w) > 2 for x in terms(w)}:
+            for t, y, part in zip(*b.columns, strict=True):
+                y, part = y.as_py(), part.as_py()
+                for term in {x for w in set(WORDS.findall(t.as_py().lower())) if len(w) > 2 for x in terms(w)}:
                     seen[term, part, y] = seen.get((term, part, y), 0) + 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array([v * k[2] for k, v in seen.items()], pa.int64()), pa.array([v * (1 - k[2]) for k, v in seen.items()], pa.int64())], ["term", "part", "pos", "neg"])
+                if len(seen) >= COUNTED_TERMS:
+                    yield counted()
+        if seen:
+            yield counted()
 
     return texts.select("text", "y", "fold").mapInArrow(count, "term string, part int, pos long, neg long").groupBy("term", "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -164,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = [Measure(o) for o in others]
         for b in batches:
-            xs = [by[k](t) for t, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            xs = [by[k.as_py()](t.as_py()) for t, k in zip(b.column(0), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "fold"])
 
     seen = texts.select("text", "y", "fold").mapInArrow(measure, "x array<double>, y int, fold int").toArrow()
