@@ -1,7 +1,11 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import redact
+from weftline.plans import catalog
 
 
 def run(spark, text, types=None):
@@ -37,3 +41,27 @@ def test_limit(spark):
     big = spark.range(1).select(F.repeat(F.lit("a"), redact.MAX_TEXT + 1).alias("text"))
     with pytest.raises(Exception, match="larger than"):
         redact.with_redaction(big, types=[]).select(F.length("redacted")).collect()
+
+
+def brute_bare(text):
+    spots = [m.start() for m in re.finditer(r"(?<![0-9])[0-9]{9}(?![0-9])", text)]
+    label = re.compile(r"\b(?:ssn|social\s*security)\b", re.I | re.A)
+    spots = [s for s in spots if label.search(text[max(0, s - 30) : s]) or label.search(text[s + 9 : s + 39])]
+    for s in reversed(spots):
+        text = text[:s] + "[REDACTED:ssn]" + text[s + 9 :]
+    return text, len(spots)
+
+
+def test_bare_numbers_of_all_ids_and_whole_texts(spark, tmp_path):
+    long = "word " * 20_000 + "ssn 123456789"
+    rows = [(1, "my ssn is 987654321, order " + "." * 40 + " 123456789"), (1_000_000, long), (5_000_000_001, "Social Security 111223333 and 444556666"), (None, "123456789"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in catalog.QUERIES["leaf_redact_ssn_bare"](spark, str(tmp_path)).collect()} == {r[0] for r in rows}
+    want = {}
+    for i, t in rows:
+        n = str(i or 0).rjust(9, "1")[:9]
+        new, hits = brute_bare(f"{t} SSN: {n} {'.' * 30} order {n}")
+        want[i] = (None, None) if t is None else (hashlib.sha256(new.encode()).hexdigest(), hits)
+    got = catalog.QUERIES["leaf_redact_ssn_bare_text"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.digest for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(r.hits == want[r.doc_id][1] for r in got if want[r.doc_id][0])

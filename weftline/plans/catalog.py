@@ -90,10 +90,19 @@ def leaf_redact_ssn(spark, table):
 @query("""SELECT doc_id, 'x ' || CASE WHEN doc_id % 2 = 0 THEN 'SSN: [REDACTED:ssn]' ELSE 'order ' || lpad(doc_id::VARCHAR, 9, '1') END || ' end' AS redacted FROM documents WHERE doc_id < 1000000""")
 def leaf_redact_ssn_bare(spark, table):
     """Nine digits are a social security number only with a label nearby."""
-    d = table("documents").where("doc_id < 1000000").select("doc_id", F.concat(F.lit("x "), F.when(F.col("doc_id") % 2 == 0, F.lit("SSN: ")).otherwise(F.lit("order ")), F.lpad(F.col("doc_id").cast("string"), 9, "1"), F.lit(" end")).alias("t"))
+    d = table("documents").select("doc_id", F.concat(F.lit("x "), F.when(F.col("doc_id") % 2 == 0, F.lit("SSN: ")).otherwise(F.lit("order ")), F.lpad(F.col("doc_id").cast("string"), 9, "1"), F.lit(" end")).alias("t"))
     return d.select("doc_id", redact.one_pass(F.col("t"), "ssn_bare")[0].alias("redacted"))
 
 
+@query()
+def leaf_redact_ssn_bare_text(spark, table):
+    """The same over whole texts, with a labelled number and one far from any label added."""
+    number = F.lpad(F.coalesce("doc_id", F.lit(0)).cast("string"), 9, "1")
+    d = table("documents").select("doc_id", F.concat("text", F.lit(" SSN: "), number, F.lit(f" {'.' * redact.LABEL_DISTANCE} order "), number).alias("t"))
+    new, n = redact.one_pass(F.col("t"), "ssn_bare")
+    return d.select("doc_id", sha(new).alias("digest"), n.cast("long").alias("hits"))
+
+
 @query(CARD_SQL.format(keys="doc_id", text="text", re=CARD_RE, source="documents", ok=CARD_OK) + f"SELECT doc_id, sha256({replaced_sql('credit_card')}) AS digest, len(list_filter(oks, lambda x: x)) AS hits FROM judged")
 def leaf_redact_credit_card(spark, table):
     new, n = redact.one_pass(F.col("text"), "credit_card")
