@@ -2,8 +2,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -109,3 +111,32 @@ def test_documents_and_awkward(spark, awkward, nothing):
     rows = x.find_secrets(awkward.withColumn("spans", awkward.lang)).collect()
     assert len(rows) == awkward.count() and {r.spans for r in rows} == {""}
     assert x.find_secrets(nothing).count() == 0
+
+
+def tar_gz(name, data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("data", [
+    tar_gz("a.env", b"password=hunter2hunter2\n"), "password=hunter2hunter2".encode("utf-16"), "password=hunter2hunter2".encode("utf-16-be"), "password=hunter2hunter2".encode("utf-32"),
+    "clé: password=hunter2hunter2".encode("latin-1"), b"password=hunter2hunter2\0", b"\xff\xfe\x80" + b64(b"\x01 password=hunter2hunter2").encode(), gzip.compress("é password=hunter2hunter2".encode("latin-1")),
+])
+def test_layers_that_are_no_clean_utf8(data):
+    text = f"Ünï {b64(data)} end"
+    assert any(k == "assign" and 4 <= s < e <= len(text) - 4 for s, k, e in x.secrets(text)[1])
+
+
+def test_places_in_layers_that_are_no_utf8():
+    for data, size in ((b"\xe9 token: abcdefgh99 ", 1), ("token: abcdefgh99 ".encode("utf-16-le"), 2)):
+        text, at = b64(data), data.index(b"t")
+        [(s, _, e)] = [f for f in x.secrets(text)[1] if f[1] == "assign"]
+        assert (s, e) == (at * 8 // 6, ((at + 17 * size) * 8 - 1) // 6 + 1)
+
+
+def test_bytes_without_signs_make_no_layer():
+    assert x.secrets(b64(bytes(range(128, 256))))[2] == 0

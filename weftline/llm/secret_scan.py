@@ -36,6 +36,11 @@ UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: base64 in lines of equal length, as in mail.
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n){1,}[A-Za-z0-9+/]+={0,2}")
+CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
+#: Bytes without which no pattern of KINDS and no encoding has a match.
+SIGNS = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_=-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
+#: Runs of ASCII characters of two or four bytes, either end first. The zeros around the first and the last may be missing.
+WIDE = [(n, re.compile(rb"[\t-\r\x20-\x7e]?(?:\0{%d}[\t-\r\x20-\x7e]){7,}" % (n - 1))) for n in (2, 4)]
 #: Bytes that unpacking may make of one document. A document that would need more is marked as truncated.
 UNPACK_LIMIT = 64 << 20
 
@@ -114,13 +119,32 @@ def charge(made: bytes, budget: Budget) -> bytes | None:
     return made or None
 
 
-def readable(data: bytes) -> str | None:
-    """data as text: UTF-8 without control characters but white space."""
+def readable(data: bytes, packed: bool = False) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """data as texts, each with the bytes (first, and the one after the last) of its characters: as UTF-8, where bytes that are
+    none are single characters; and its runs of UTF-16 and UTF-32. Data that is no plain text counts only where SIGNS finds
+    something. packed: the bytes' places are not wanted, all are 0."""
+    plain = True
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
+        text, plain = data.decode("utf-8", "surrogateescape"), False
+    if text and (plain and not CONTROL.search(text) or SIGNS.search(data)):
+        if packed:
+            yield text, np.broadcast_to(0, len(text)), np.broadcast_to(0, len(text))
+        else:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            sizes[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+            ends = np.cumsum(sizes)
+            yield text, ends - sizes, ends
+    if b"\0" in data:
+        for size, pattern in WIDE:
+            for m in pattern.finditer(data):
+                run = m[0].replace(b"\0", b"")
+                if SIGNS.search(run):
+                    # the last character of a run may stand without its zeros, which may belong to the next character
+                    first = m.start() + size * np.arange(len(run))
+                    yield run.decode("ascii"), first * (not packed), (np.minimum(first + size, m.end())) * (not packed)
 
 
 def replaced(layer: Layer, start: int, end: int, parts: list[tuple[int, int, str]]) -> Layer:
@@ -187,18 +211,14 @@ def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
         packed = False
         while (more := inflate(data, budget)) is not None and more != data:
             data, packed = more, True
-        inner = readable(data)
-        if inner is None:
-            continue
         where = np.concatenate([np.arange(i, j) for i, j in places])
-        n = len(inner)
-        if packed:
-            first, last = np.zeros(n, int), np.full(n, len(run) - 1)
-        else:
-            sizes = np.array([len(c.encode()) for c in inner])
-            ends = np.cumsum(sizes)
-            first, last = (ends - sizes) * 8 // 6, (ends * 8 - 1) // 6
-        yield Layer(inner, layer.starts[where[first]], layer.ends[where[last]], np.ones(n, bool))
+        for inner, begins, ends in readable(data, packed):
+            n = len(inner)
+            if packed:
+                first, last = np.zeros(n, int), np.full(n, len(run) - 1)
+            else:
+                first, last = begins * 8 // 6, (ends * 8 - 1) // 6
+            yield Layer(inner, layer.starts[where[first]], layer.ends[where[last]], np.ones(n, bool))
 
 
 def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
