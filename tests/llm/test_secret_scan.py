@@ -140,3 +140,20 @@ def test_places_in_layers_that_are_no_utf8():
 
 def test_bytes_without_signs_make_no_layer():
     assert x.secrets(b64(bytes(range(128, 256))))[2] == 0
+
+
+@pytest.mark.parametrize("width", [1, 7, 20, 32, 40, 48, 64, 100, 128])
+@pytest.mark.parametrize("indent,head,foot", [("", "begin\n", "\nend"), ("    ", "data: |\n", "\nmore: x"), ("\t", "", ""), ("  ", "key: ", "\n"), ("", '"', '"')])
+def test_base64_in_lines_of_any_width(width, indent, head, foot):
+    noise = "".join(f"{hashlib.sha256(str(i).encode()).hexdigest()[:7]} ÿ~?>" for i in range(20))
+    for encode, data in ((base64.b64encode, f"{noise} password=hunter2hunter2 {noise}".encode()), (base64.urlsafe_b64encode, f"{noise}~~ password=hunter2hunter2 ÿ".encode()), (base64.b64encode, gzip.compress(f"{noise} password=hunter2hunter2".encode(), mtime=0))):
+        run = encode(data).decode()
+        lines = [run[i : i + width] for i in range(0, len(run), width)]
+        text = head + (indent if head.endswith("\n") or not head else "") + f"\n{indent}".join(lines) + foot
+        assert any(k == "assign" and text[s:e] != "password=hunter2hunter2" for s, k, e in x.secrets(text)[1]), (width, text)
+
+
+def test_first_line_after_a_key_may_be_shorter():
+    run = b64(b"some words before it, quite a few, then password=hunter2hunter2 and more after that, and on")
+    text = "key: " + run[:35] + "".join(f"\n  {run[i : i + 38]}" for i in range(35, len(run), 38)) + "\n"
+    assert any(k == "assign" for _, k, _ in x.secrets(text)[1])

@@ -37,6 +37,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: base64 in lines of equal length, as in mail.
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n){1,}[A-Za-z0-9+/]+={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
+#: A run at the end of its line, and one that starts the next.
+LINE_END = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]++)[ \t]*+\r?\n")
+NEXT_LINE = re.compile(r"[ \t]*+([A-Za-z0-9+/_-]++)")
 #: Bytes without which no pattern of KINDS and no encoding has a match.
 SIGNS = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_=-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
 #: Runs of ASCII characters of two or four bytes, either end first. The zeros around the first and the last may be missing.
@@ -232,8 +235,38 @@ def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
                 if len(p[0]) < len(run):
                     yield [(at + p.start(), at + p.end())]
     if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            yield [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+/]+", m[0])]
+        seen = set()
+        for places in wrapped_runs(text):
+            if places[-1][1] - places[0][0] >= 16 and sum(j - i for i, j in places) >= 16 and tuple(places) not in seen:
+                seen.add(tuple(places))
+                yield places
+
+
+def wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs over several lines: those of WRAPPED, and lines of one width each, indented or not, the last one shorter or not.
+    Where the first line has something else before its run, this may be shorter; where the last may be no part, without it too."""
+    for m in WRAPPED.finditer(text):
+        yield [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+/]+", m[0])]
+    places, lead, expected = [], [], -1
+    for m in LINE_END.finditer(text):
+        i, j = m.span(1)
+        if i != expected or not places or j - i != places[0][1] - places[0][0]:
+            before = places[0][0] if i == expected and len(places) == 1 and places[0][1] - places[0][0] < j - i else 0
+            lead = places if text[text.rfind("\n", 0, before) + 1 : before].strip() else []
+            places = []
+        places.append((i, j))
+        width, n = j - i, NEXT_LINE.match(text, m.end())
+        expected = n.start(1) if n else -1
+        size = n.end(1) - expected if n else 0
+        if size == width and LINE_END.match(text, expected):
+            continue
+        ends = [[n.span(1)]] if 0 < size <= width else []
+        if not ends or text[n.end(1) : n.end(1) + 1] != "=":
+            ends.append([])
+        for end in ends:
+            for start in ([], lead) if lead else ([],):
+                if len(start) + len(places) + len(end) > 1:
+                    yield [*start, *places, *end]
 
 
 def layers(text: str, budget: Budget) -> Iterator[Layer]:
