@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,17 @@ NEXT_LINE = re.compile(r"[ \t]*+([A-Za-z0-9+/_-]++)")
 SIGNS = re.compile(rb"(?i:passw(?:or)?d|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_=-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
 #: Runs of ASCII characters of two or four bytes, either end first. The zeros around the first and the last may be missing.
 WIDE = [(n, re.compile(rb"[\t-\r\x20-\x7e]?(?:\0{%d}[\t-\r\x20-\x7e]){7,}" % (n - 1))) for n in (2, 4)]
-#: Bytes that unpacking may make of one document. A document that would need more is marked as truncated.
-UNPACK_LIMIT = 64 << 20
+#: Bytes of unpacked data after which layers() pauses, and most bytes held at once of data that has no place to cut it.
+UNPACK_LIMIT = 32 << 20
+#: Unpacked data is looked at in blocks of this size, cut where no pattern of KINDS and no encoding can go across: after a
+#: character that none of them has, or after several zeros.
+BLOCK = 4 << 20
+SAFE = re.compile(rb"[(),!?<>\[\]*$|~@^]|[\x80-\xff](?=[\x00-\x7f])|\0{8}")
+NOT_BASE64 = re.compile(rb"[^A-Za-z0-9+/_-]")
+#: Bytes that two blocks share where there is no such place.
+OVERLAP = 1 << 16
+#: Compressed layers directly in each other that are followed.
+DEPTH = 100
 
 
 @dataclass
@@ -65,8 +75,19 @@ class Layer:
 
 @dataclass
 class Budget:
+    """left: bytes until layers() pauses; spent: it paused; rest: what it goes on with; cut: a run was cut where
+    something may go across; seen: packed runs by place and digest; failed: the last run unpacked was no packed data;
+    hold: most bytes held at once without a place to cut them."""
+
     left: int = UNPACK_LIMIT
     spent: bool = field(default=False)
+    rest: list = field(default_factory=list)
+    cut: bool = field(default=False)
+    seen: set = field(default_factory=set)
+    failed: bool = field(default=False)
+
+    def __post_init__(self):
+        self.hold = self.left
 
 
 def scan(text: str) -> list[tuple[int, str, int]]:
@@ -85,41 +106,122 @@ def listed(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], ORDER[x[1]], x[2])))
 
 
-def inflate(data: bytes, budget: Budget) -> bytes | None:
-    """One compressed layer undone, or None if data is none."""
-    makers = []
-    if data[:2] == b"\x1f\x8b":
-        makers.append(lambda: zlib.decompressobj(31))
-    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        makers.append(zlib.decompressobj)
-    elif data[:3] == b"BZh":
-        makers.append(bz2.BZ2Decompressor)
-    elif data[:6] == b"\xfd7zXZ\x00" or data[:3] == b"\x5d\x00\x00":
-        makers.append(lzma.LZMADecompressor)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        import io
+class Stepwise:
+    """zlib's and zstd's decompressors, used as those of bz2 and lzma."""
+
+    def __init__(self, inner, zstd: bool = False):
+        self.inner, self.zstd, self.rest, self.needs_input = inner, zstd, b"", True
 
+    @property
+    def eof(self) -> bool:
+        return self.inner.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.inner.unused_data + (self.rest if self.zstd else b"")
+
+    def decompress(self, data: bytes, limit: int) -> bytes:
+        data = self.rest + data
+        if self.zstd:  # has no limit, so it gets little at a time
+            self.rest = data[256:]
+            made = self.inner.decompress(data[:256])
+            self.needs_input = not self.rest
+        else:
+            made = self.inner.decompress(data, limit)
+            self.rest = self.inner.unconsumed_tail
+            self.needs_input = not self.rest and len(made) < limit
+        return made
+
+
+def decompressor(data: bytes):
+    """One for data that starts so, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return Stepwise(zlib.decompressobj(31))
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return Stepwise(zlib.decompressobj())
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00" or data[:3] == b"\x5d\x00\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        try:
-            made = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(budget.left + 1)
-        except zstandard.ZstdError:
-            return None
-        return charge(made, budget)
-    for make in makers:
-        try:
-            made = make().decompress(data, budget.left + 1)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError):
-            return None
-        return charge(made, budget)
+        return Stepwise(zstandard.ZstdDecompressor().decompressobj(), zstd=True)
     return None
 
 
-def charge(made: bytes, budget: Budget) -> bytes | None:
-    if len(made) > budget.left:
-        budget.spent, made = True, made[: budget.left]
-    budget.left -= len(made)
-    return made or None
+def inflate(made_by, data: bytes, source: Iterator[bytes], budget: Budget) -> Iterator[bytes]:
+    """What one compressed layer holds, piece by piece, as far as it is sound. data is its start, source gives the rest."""
+    inputs = chain((data[i : i + OVERLAP] for i in range(0, len(data), OVERLAP)), source)
+    while not made_by.eof:
+        piece = b""
+        if made_by.needs_input and not (piece := next(inputs, b"")):
+            return
+        try:
+            made = made_by.decompress(piece, 1 << 20)
+        except Exception as e:  # zstandard has its own kind, and may not be there
+            if not isinstance(e, (zlib.error, OSError, lzma.LZMAError, EOFError)) and type(e).__name__ != "ZstdError":
+                raise
+            budget.failed = True
+            return
+        if made:
+            yield made
+
+
+def unpacked(source: Iterator[bytes], budget: Budget, before: tuple[bytes, ...] = ()) -> Iterator[bytes]:
+    """The innermost data of compressed layers, piece by piece."""
+    data, ended = bytearray(), False
+    while len(data) < 1 << 20 and not ended:
+        more = next(source, b"")
+        data += more
+        ended = not more
+    data = bytes(data)
+    own = hashlib.blake2b(data, digest_size=16).digest()
+    made_by = None if ended and own in before else decompressor(data)
+    if made_by is None:
+        yield data
+        yield from source
+    elif len(before) == DEPTH:
+        budget.cut = True
+    else:
+        some = False
+        for piece in unpacked(inflate(made_by, data, source, budget), budget, (*before, own)):
+            some = some or bool(piece)
+            yield piece
+        if before and not some:  # it only looked like a compressed layer
+            yield data
+            yield from source
+
+
+def last_of(pattern: re.Pattern, data: bytearray, end: int) -> int:
+    """Where the last match in data before end ends, or 0."""
+    for stop in range(end, 0, -OVERLAP):
+        if spots := [m.end() for m in pattern.finditer(data, max(stop - OVERLAP, 0), stop)]:
+            return spots[-1]
+    return 0
+
+
+def blocks(pieces: Iterator[bytes], budget: Budget) -> Iterator[bytes]:
+    """pieces put together, and cut at SAFE."""
+    held, wanted = bytearray(), min(BLOCK, budget.hold)
+    for piece in pieces:
+        held += piece
+        while len(held) >= wanted:
+            if at := last_of(SAFE, held, len(held)):
+                yield bytes(held[:at])
+                del held[:at]
+                wanted = min(BLOCK, budget.hold)
+            elif len(held) < budget.hold:
+                wanted = min(2 * len(held), budget.hold)  # looks again when there is twice as much
+            else:
+                budget.cut = True
+                yield bytes(held[: budget.hold])
+                at = max(budget.hold - OVERLAP, budget.hold // 2)
+                at -= (at - last_of(NOT_BASE64, held, at)) % 4  # what base64 goes across stays in step
+                del held[:at]
+                wanted = budget.hold
+    if held:
+        yield bytes(held)
 
 
 def readable(data: bytes, packed: bool = False) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -211,17 +313,48 @@ def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except ValueError:
             continue
-        packed = False
-        while (more := inflate(data, budget)) is not None and more != data:
-            data, packed = more, True
-        where = np.concatenate([np.arange(i, j) for i, j in places])
-        for inner, begins, ends in readable(data, packed):
-            n = len(inner)
-            if packed:
-                first, last = np.zeros(n, int), np.full(n, len(run) - 1)
+        first, last = places[0][0], places[-1][0] + len(run) - 1 - sum(j - i for i, j in places[:-1])
+        if decompressor(data) is not None:
+            key = (int(layer.starts[first]), int(layer.ends[last]), hashlib.blake2b(data, digest_size=16).digest())
+            if key in budget.seen:
+                continue
+            budget.seen.add(key)
+            budget.failed, some = False, False
+            inside = unpacked_layers(data, key[:2], budget)
+            if budget.left <= 0:
+                budget.rest.append((inside, (*layer.before, layer.digest())))
+                inside = ()
+            for inner in inside:
+                some = True
+                budget.left -= len(inner.text)
+                yield inner
+                if budget.left <= 0:
+                    budget.spent = True
+                    budget.rest.append((inside, (*layer.before, layer.digest())))
+                    break
+            if some and not budget.failed:
+                continue
+        same = not layer.starts.strides[0]  # all characters have one place
+        where = None if same else np.concatenate([np.arange(i, j) for i, j in places])
+        for inner, begins, ends in readable(data, same):
+            if same:
+                starts, stops = (np.broadcast_to(x[0], len(inner)) for x in (layer.starts, layer.ends))
             else:
-                first, last = begins * 8 // 6, (ends * 8 - 1) // 6
-            yield Layer(inner, layer.starts[where[first]], layer.ends[where[last]], np.ones(n, bool))
+                starts, stops = layer.starts[where[begins * 8 // 6]], layer.ends[where[(ends * 8 - 1) // 6]]
+            yield Layer(inner, starts, stops, np.broadcast_to(True, len(inner)))
+
+
+def unpacked_layers(data: bytes, place: tuple[int, int], budget: Budget) -> Iterator[Layer]:
+    """The layers that packed data at a place of the document holds, each text once."""
+    seen = set()
+    for block in blocks(unpacked(iter([data]), budget), budget):
+        own = hashlib.blake2b(block, digest_size=16).digest()
+        if own in seen:
+            continue
+        seen.add(own)
+        for inner, _, _ in readable(block, packed=True):
+            n = len(inner)
+            yield Layer(inner, np.broadcast_to(place[0], n), np.broadcast_to(place[1], n), np.broadcast_to(True, n))
 
 
 def base64_runs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -251,8 +384,9 @@ def wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
     for m in LINE_END.finditer(text):
         i, j = m.span(1)
         if i != expected or not places or j - i != places[0][1] - places[0][0]:
-            before = places[0][0] if i == expected and len(places) == 1 and places[0][1] - places[0][0] < j - i else 0
-            lead = places if text[text.rfind("\n", 0, before) + 1 : before].strip() else []
+            lead = places if i == expected and len(places) == 1 and places[0][1] - places[0][0] < j - i else []
+            if lead and (line := text.rfind("\n", 0, lead[0][0])) >= 0 and not text[line:lead[0][0]].strip():
+                lead = []
             places = []
         places.append((i, j))
         width, n = j - i, NEXT_LINE.match(text, m.end())
@@ -270,35 +404,52 @@ def wrapped_runs(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def layers(text: str, budget: Budget) -> Iterator[Layer]:
-    """All layers below a text, each once for each place."""
+    """All layers below a text, each once for each place, until unpacked data has more than the budget. resumed() goes on."""
     n = len(text)
-    work = [Layer(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool))]
+    return below([Layer(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool))], budget)
+
+
+def below(work: list[Layer], budget: Budget) -> Iterator[Layer]:
     while work:
         layer = work.pop()
-        chain = (*layer.before, layer.digest())
+        before = (*layer.before, layer.digest())
         for inner in unwrap(layer, budget):
-            if inner.digest() not in chain:
-                inner.before = chain
+            if inner.digest() not in before:
+                inner.before = before
                 yield inner
                 work.append(inner)
 
 
+def resumed(budget: Budget) -> Iterator[Layer]:
+    """The layers that layers() left."""
+    while budget.rest:
+        inside, before = budget.rest.pop()
+        budget.left = UNPACK_LIMIT
+        for inner in inside:
+            if inner.digest() not in before:
+                inner.before = before
+                yield inner
+                yield from below([inner], budget)
+                budget.left = UNPACK_LIMIT
+
+
 def secrets(text: str) -> tuple[list, list, int, bool]:
-    """A text's own spans, all spans, number of layers, whether the unpacking limit was met."""
+    """A text's own spans, all spans, number of layers, whether a run was cut where something may go across."""
     base, budget, n = scan(text), Budget(), 0
     everything = set(base)
-    for layer in layers(text, budget):
+    for layer in chain(layers(text, budget), resumed(budget)):
         n += 1
         for start, kind, end in scan(layer.text):
             if layer.decoded[start:end].any():  # else it stands as it is in the layer before
                 everything.add((int(layer.starts[start]), kind, int(layer.ends[end - 1])))
-    return base, list(everything), n, budget.spent
+    return base, list(everything), n, budget.cut
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row of docs: doc_id, n_assign, n_access, n_hex and base_sha256 of the text's own secrets,
     spans (kind:start:end in code points, end exclusive, by start, comma-joined) of these and of those
-    within its layers, n_layers, and truncated (true if unpacking met its limit).
+    within its layers, n_layers, and truncated (true if unpacked data has a run of
+    more than UNPACK_LIMIT bytes without a place to cut it, or more than DEPTH compressed layers in each other).
 
     Null is the empty text, which has none. Repeated rows get a row each; an empty table gives none.
     One pass, no shuffle.
