@@ -204,3 +204,21 @@ def test_what_only_looks_packed_and_what_unpacks_to_it():
     for t in ("x^ token: abcdefgh99 and", "hC password=hunter2hunter2"):
         assert any(k == "assign" for _, k, _ in x.secrets(b64(t))[1])
         assert any(k == "assign" for _, k, _ in x.secrets(b64(gzip.compress(gzip.compress(t.encode()))))[1])
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bz2", "xz", "xz padded", "zstd", "zstd skipped", "gzip and text"])
+@pytest.mark.parametrize("size", [10, 200_000])
+def test_all_members_are_unpacked(kind, size):
+    zstandard = pytest.importorskip("zstandard")
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}[kind.split()[0]]
+    between = {"xz padded": bytes(8), "zstd skipped": b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc"}.get(kind, b"")
+    last = b"token: abcdefgh99" if kind == "gzip and text" else pack(b"token: abcdefgh99")
+    data = pack(filler(size)) + between + pack(b",password=hunter2hunter2,") + between + last
+    for d in (data, gzip.compress(data)):
+        found = [k for layer in x.layers(b64(d), x.Budget()) for _, k, _ in x.scan(layer.text)]
+        assert found.count("assign") >= 2
+
+
+def test_very_many_members():
+    data = gzip.compress(b"a, ") * 60_000 + gzip.compress(b"password=hunter2hunter2")
+    assert any(k == "assign" for _, k, _ in x.secrets(b64(data))[1])

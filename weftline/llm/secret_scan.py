@@ -15,6 +15,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -143,7 +144,7 @@ def decompressor(data: bytes):
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00" or data[:3] == b"\x5d\x00\x00":
         return lzma.LZMADecompressor()
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+    if data[:4] == b"\x28\xb5\x2f\xfd" or data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5:  # or a frame to skip
         import zstandard
 
         return Stepwise(zstandard.ZstdDecompressor().decompressobj(), zstd=True)
@@ -151,21 +152,35 @@ def decompressor(data: bytes):
 
 
 def inflate(made_by, data: bytes, source: Iterator[bytes], budget: Budget) -> Iterator[bytes]:
-    """What one compressed layer holds, piece by piece, as far as it is sound. data is its start, source gives the rest."""
-    inputs = chain((data[i : i + OVERLAP] for i in range(0, len(data), OVERLAP)), source)
-    while not made_by.eof:
-        piece = b""
-        if made_by.needs_input and not (piece := next(inputs, b"")):
-            return
-        try:
-            made = made_by.decompress(piece, 1 << 20)
-        except Exception as e:  # zstandard has its own kind, and may not be there
-            if not isinstance(e, (zlib.error, OSError, lzma.LZMAError, EOFError)) and type(e).__name__ != "ZstdError":
-                raise
-            budget.failed = True
-            return
-        if made:
-            yield made
+    """What one compressed layer holds, piece by piece, as far as it is sound: all its members (streams, frames), and what
+    stands after them. data is its start, source gives the rest."""
+    first, held = True, deque(data[i : i + OVERLAP] for i in range(0, len(data), OVERLAP))
+    while made_by is not None:
+        some = False
+        while not made_by.eof:
+            piece = b""
+            if made_by.needs_input and not (piece := held.popleft() if held else next(source, b"")):
+                return
+            try:
+                made = made_by.decompress(piece, 1 << 20)
+            except Exception as e:  # zstandard has its own kind, and may not be there
+                if not isinstance(e, (zlib.error, OSError, lzma.LZMAError, EOFError)) and type(e).__name__ != "ZstdError":
+                    raise
+                budget.failed = True
+                if not first and not some:  # it only looked like a member
+                    yield from (data, *held)
+                    yield from source
+                return
+            if made:
+                some = True
+                yield made
+        data, first = made_by.unused_data.lstrip(b"\0"), False  # zeros may stand between members
+        while len(data) < 6 and (more := held.popleft() if held else next(source, b"")):
+            data = (data + more).lstrip(b"\0")
+        held.appendleft(data)
+        made_by = decompressor(data)
+    yield from held
+    yield from source
 
 
 def unpacked(source: Iterator[bytes], budget: Budget, before: tuple[bytes, ...] = ()) -> Iterator[bytes]:
