@@ -111,3 +111,17 @@ def test_drop_toxic_keeps_columns(spark, awkward):
     assert kept.columns == wide.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxicity.score(docs, model).collect() if not r.predicted}
     assert toxicity.drop_toxic(awkward, model).count() == awkward.count()
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    docs, labels = frames(spark)
+    other = spark.range(1_000_000, 1_020_000).selectExpr("id as doc_id", *(f"0 as {c}" for c in labels.columns if c != "doc_id")).select(labels.columns)
+    own = labelled.sample(docs, labels, "toxic", 5, 0, 50)
+    mixed = labelled.sample(docs.union(docs.limit(9)), labels.union(other), "toxic", 5, 0, 50)
+    assert own.count() == 50 and sorted(map(tuple, mixed.collect())) == sorted(map(tuple, own.collect()))
+
+
+def test_nothing_fitted_drops_nothing(spark, awkward):
+    docs, labels = frames(spark)
+    for none in (labels.limit(0), labels.withColumn("doc_id", labels.doc_id + 1_000_000)):
+        assert toxicity.drop_toxic(awkward, toxicity.fit(docs, none)).count() == awkward.count()

@@ -23,6 +23,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     """
     own = labels.select(F.col("doc_id").alias("label_id"), F.col(label).alias("y")).where("label_id is not null and y is not null")
     own = own.where(remainder(F.col("label_id"), folds) != held).groupBy("label_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    ids = docs.select(F.col("doc_id").alias("own_id")).distinct()  # labels of ids that docs doesn't have take no place
+    own = own.join(ids, F.col("label_id") == F.col("own_id"), "leftsemi")
     few = materialize(own.orderBy(F.xxhash64("label_id", F.lit(label)), "label_id").limit(rows), f"{label}-rows")
     joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
     joined = joined.dropDuplicates(["label_id"])  # an id may be repeated in docs; the bound holds all the same

@@ -154,6 +154,7 @@ class Model:
     lexicon: Lexicon
     trees: boosting.Trees
     calibration: boosting.Isotonic
+    fitted: bool = True
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.calibration(self.trees.scores(x))
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
     for k in range(PARTS):
         if (fold == k).any():
             raw[fold == k] = boosting.fit(x[fold != k], y[fold != k]).scores(x[fold == k])
-    return Model(whole, boosting.fit(x, y), boosting.isotonic(raw, y))
+    return Model(whole, boosting.fit(x, y), boosting.isotonic(raw, y), len(y) > 0)
 
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS, held: int = HELD) -> DataFrame:
@@ -214,7 +215,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, with docs' own columns. Scores travel with the rows, so
-    nothing is joined."""
+    nothing is joined. A model that nothing was fitted on rejects nothing."""
+    if not model.fitted:
+        return docs
     schema = docs.schema
     at = schema.names.index("text")
 
