@@ -58,21 +58,65 @@ def family(rnd, n, words, edits):
     return out
 
 
-def test_large_groups_and_second_round(spark, monkeypatch):
-    """Nodes above the limits: stuck ones, branched ones and crowded ones, chains of links among them."""
-    monkeypatch.setattr(x, "SMALL", 12)
-    monkeypatch.setattr(x, "ALL_PAIRS", 4)
-    rnd = np.random.default_rng(4)
+def collection(seed):
+    """Families of near copies close and loose, pairs, texts of one long passage, and a chain of links."""
+    rnd = np.random.default_rng(seed)
     texts = family(rnd, 150, 120, 3) + family(rnd, 60, 200, 12) + [t for _ in range(40) for t in family(rnd, 2, 60, 2)]
     passage = " ".join(f"p{i}" for i in range(60))
     texts += [passage + " " + " ".join(f"u{rnd.integers(0, 10**6)}" for _ in range(40 + i % 60)) for i in range(80)]
     chain = [f"c{i}" for i in range(200)]
     texts += [" ".join(chain[i * 4 : 100 + i * 4]) for i in range(25)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    want = brute(list(enumerate(texts)), 4)
-    got = marks(docs, 4)
-    wrong = [d for d in want if want[d] != got[d]]
-    assert len(wrong) <= len(want) // 100, len(wrong)
+    return list(enumerate(texts))
+
+
+LIMITS = {
+    "as they are": {},
+    "nodes branched in a task": {"SMALL": 8},
+    "nodes branched as tables": {"SMALL": 4, "WHOLE": 24},
+    "groups in parts": {"GROUP": 10, "PARTS": 100},
+    "parts of few shingles": {"GROUP_SHINGLES": 600, "PARTS": 1000},
+    "large groups": {"GROUP": 10, "PARTS": 2},
+    "large groups, small nodes": {"GROUP": 10, "PARTS": 2, "SMALL": 6, "WHOLE": 24, "LEVELS": 3},
+}
+
+
+@pytest.mark.parametrize("limits", LIMITS.values(), ids=LIMITS)
+def test_limits(spark, monkeypatch, limits):
+    """No limit changes the result."""
+    for name, value in limits.items():
+        monkeypatch.setattr(x, name, value)
+    rows = collection(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert marks(docs, 4) == brute(rows, 4)
+
+
+def test_template(spark, monkeypatch):
+    """Many texts that share 0.7 of their shingles, few of them linked: no group of all pairs is made."""
+    monkeypatch.setattr(x, "GROUP", 20)
+    monkeypatch.setattr(x, "PARTS", 3)
+    monkeypatch.setattr(x, "SMALL", 10)
+    rnd = np.random.default_rng(8)
+    base = [f"t{i}" for i in range(82)]
+    texts = [" ".join(base + [f"u{rnd.integers(0, 10**6)}" for _ in range(18)]) for _ in range(150)]
+    texts += [t + " more" for t in texts[:30]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert marks(docs, 5) == brute(rows, 5)
+
+
+def test_overlaps():
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.integers(0, 40, rnd.integers(1, 30))) for _ in range(12)]
+    got = x.overlaps(sets)
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(12) for j in range(i + 1, 12))
+
+
+def test_repeated_ids(spark):
+    """Many rows of one id, or of none: with texts of their own, and all the same."""
+    rows = [(7, f"a{i // 2} b{i // 2} c d e f g h") for i in range(40)] + [(None, "x y z") for _ in range(20)] + [(3, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = x.mark_near_copies(docs, 4).collect()
+    assert len(got) == 61 and {r.component_id for r in got if r.doc_id is None} == {3} and {r.component_id for r in got if r.doc_id == 7} == {7}
 
 
 def test_awkward(spark, awkward, nothing):

@@ -37,7 +37,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.weftline_path = path
+    return made
+
+
+class Tables:
+    """Intermediate tables of one operator, written as materialize() does, that can be deleted when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        made = materialize(df, name)
+        self.made.append(made)
+        return made
+
+    def delete(self, *, but: DataFrame | None = None, only: DataFrame | None = None) -> None:
+        """All tables, or all but one, or only one."""
+        gone = [t for t in self.made if t is not but and (only is None or t is only)]
+        self.made = [t for t in self.made if not any(t is g for g in gone)]
+        for t in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.weftline_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,14 +85,19 @@ def public_tokenizer(name: str) -> str:
 
 
 class Remembered(dict):
-    """A dict that makes missing values. When it holds limit of them, they become the older
+    """A dict that makes missing values. Values of keys longer than LONGEST are made anew each time, so
+    that the number of entries bounds the memory. When it holds limit of them, they become the older
     generation, and the one before that is forgotten."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
+    LONGEST = 64
+
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
