@@ -19,7 +19,8 @@ def remainder(doc_id: Column, by: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int = FIT_ROWS) -> DataFrame:
     """text, y, fold (0 to 3) of at most rows labelled documents that are not held out, materialized.
 
-    Null labels and ids are left out; an id with several labels has the one that most of them say, 1 in a tie.
+    Null labels and ids are left out; an id with several labels has the one that most of them say, 1 in a tie;
+    of an id's several texts the one with the least hash is taken.
     """
     own = labels.select(F.col("doc_id").alias("label_id"), F.col(label).alias("y")).where("label_id is not null and y is not null")
     own = own.where(remainder(F.col("label_id"), folds) != held).groupBy("label_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
@@ -27,6 +28,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     own = own.join(ids, F.col("label_id") == F.col("own_id"), "leftsemi")
     few = materialize(own.orderBy(F.xxhash64("label_id", F.lit(label)), "label_id").limit(rows), f"{label}-rows")
     joined = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
-    joined = joined.dropDuplicates(["label_id"])  # an id may be repeated in docs; the bound holds all the same
+    # an id may be repeated in docs: then the text with the least hash is taken, so that reruns learn the same
+    joined = joined.groupBy("label_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     joined = joined.select("text", "y", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(4)).cast("int").alias("fold"))
     return materialize(joined, f"{label}-texts")

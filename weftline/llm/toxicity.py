@@ -2,19 +2,21 @@
 
 Features: densities of a lexicon, its nearness to words of the second person, capitals, punctuation,
 and obfuscation. The lexicon (words, and prefixes of words for languages that inflect) is learned from
-labelled documents by a likelihood-ratio test. Each labelled document is measured with the lexicon of the
+labelled documents by a likelihood-ratio test: all terms that pass it are in. Each labelled document is measured with the lexicon of the
 other folds, so that trees and calibration see it as it will be on new documents.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting, labelled
@@ -24,8 +26,6 @@ from .shared import Remembered
 FOLDS, HELD = 5, 0
 #: Parts of the sample that are measured by the others.
 PARTS = 4
-#: Terms that the driver gets to choose the lexicon from, at most: those that tell the most.
-TERMS = 20_000
 #: Least likelihood ratios (twice the log) of the three tiers of the lexicon, and how much more frequent a term must be.
 STRONG, WEAK, FAINT, LIFT = 60.0, 18.0, 7.0, 4.0
 PREFIXES = (4, 5, 6)
@@ -45,14 +45,34 @@ FEATURES = (
 )
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Letters with stand-ins or marks among them.
-HIDDEN = re.compile(r"(?<!\S)[^\W\d_][^\W_]*[013457@$!|.\-_*'+][^\s]*[^\W\d_](?!\w)")
+STAND_IN = re.compile(r"[013457@$!|.\-_*'+]")
 #: Single letters with blanks between them.
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 SHOUTED = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ]{3,}(?![^\W\d_])")
 IN_A_ROW = re.compile(r"[!?]{2,}")
 
 
+def is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def hidden(low: str) -> Iterator[str]:
+    """Letters with stand-ins or marks among them: of each token that begins with a letter and has only letters and digits before
+    its first stand-in, what goes to the last letter that ends a word. Each token is passed over twice at most."""
+    for token in low.split():
+        if not is_letter(token[0]) or (m := STAND_IN.search(token, 1)) is None:
+            continue
+        at = m.start()
+        if at > 1 and not token[1:at].isalnum():
+            continue
+        after = " "
+        for end in range(len(token) - 1, at, -1):
+            if is_letter(token[end]) and not (after.isalnum() or after == "_"):
+                yield token[: end + 1]
+                break
+            after = token[end]
+
+
 def terms(word: str) -> list[str]:
     """A word and its prefixes."""
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
@@ -78,6 +98,16 @@ def ratio(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> tuple
     return 2 * inner, np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
 
 
+def told(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
+    """Whether a term can be in the lexicon, by ratio() in columns, with room for rounding."""
+    n, both = n_pos + n_neg, pos + neg
+    share = n_pos / n if n else 0.0
+    cells = [(pos, both * share), (neg, both * (1 - share)), (n_pos - pos, (n - both) * share), (n_neg - neg, (n - both) * (1 - share))]
+    inner = sum((F.when((a > 0) & (e > 0), a * F.log(a / e)).otherwise(0.0) for a, e in cells), F.lit(0.0))
+    lift = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
+    return (2 * inner >= FAINT - 0.01) & (lift >= np.log(LIFT) - 0.01)
+
+
 def lexicon(names: np.ndarray, pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> Lexicon:
     if not (n_pos and n_neg and len(names)):
         return Lexicon({})
@@ -110,14 +140,13 @@ class Measure:
             here = np.array([i for i, _ in found])
             near = int((np.minimum(here - marks[at], marks[at + 1] - here) <= NEAR).sum())
         seconds = len(you) if found else sum(w in SECOND_PERSON for w in words)
-        hidden = [m[0].translate(STAND_INS) for m in HIDDEN.finditer(low)] if any(c in low for c in "013457@$!|._*'+-") else []
-        hidden += [m[0].replace(" ", "") for m in SPACED.finditer(low)]
-        meant = [self.of[h] for h in hidden if h.isalpha()]
+        disguised = [h.translate(STAND_INS) for h in hidden(low)] + [m[0].replace(" ", "") for m in SPACED.finditer(low)]
+        meant = [self.of[h] for h in disguised if h.isalpha()]
         upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         return [
             len(strong) / n, (len(found) - len(strong)) / n, len({words[i] for i in strong}), len({words[i] for i, _ in found}) - len({words[i] for i in strong}),
             max((f[1] for _, f in found), default=0.0), sum(f[1] for _, f in found) / n, np.log1p(len(strong)), np.log1p(len(found) - len(strong)),
-            near / max(1, len(found)), len(faint) / n, sum(faint), seconds / n, len(hidden) / n, sum(k == 3 for k, _ in meant), upper / len(text), len(SHOUTED.findall(text)) / n,
+            near / max(1, len(found)), len(faint) / n, sum(faint), seconds / n, len(disguised) / n, sum(k == 3 for k, _ in meant), upper / len(text), len(SHOUTED.findall(text)) / n,
             text.count("!") / n, text.count("?") / n, len(IN_A_ROW.findall(text)) / n, np.log1p(n),
         ]
 
@@ -166,8 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
     sizes = {r["fold"]: (r["pos"], r["n"] - r["pos"]) for r in texts.groupBy("fold").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()}
     n_pos, n_neg = sum(p for p, _ in sizes.values()), sum(n for _, n in sizes.values())
     counted = count_terms(texts).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *(F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(PARTS) for c in ("pos", "neg")))
-    lift = (F.col("pos") / max(1, n_pos)) / ((F.col("neg") + 0.5) / max(1, n_neg))
-    got = counted.where((F.col("pos") >= 2) & (lift >= LIFT * 0.75)).orderBy(F.desc(F.col("pos") * F.log(lift)), "term").limit(TERMS).toArrow()
+    parts = [(F.col("pos"), F.col("neg"), n_pos, n_neg)]
+    for k in range(PARTS):
+        own = sizes.get(k, (0, 0))
+        parts.append((F.col("pos") - F.col(f"pos{k}"), F.col("neg") - F.col(f"neg{k}"), n_pos - own[0], n_neg - own[1]))
+    got = counted.where((F.col("pos") >= 2) & functools.reduce(operator.or_, (told(*part) for part in parts))).orderBy("term").toArrow()
     names = np.array(got.column("term").to_pylist(), object)
     col = lambda c: got.column(c).to_numpy().astype(float)
     whole = lexicon(names, col("pos"), col("neg"), n_pos, n_neg)
