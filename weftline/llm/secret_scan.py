@@ -3,8 +3,10 @@
 The first layer is the text. From each layer come further ones: its lines with URL escapes undone,
 its lines with Unicode escapes undone, and what its base64 runs hold, unpacked as long as that is
 compressed. Each layer keeps, for each of its characters, the span of the text it came from, so a
-secret found deep inside is reported where it stands in the text. A layer that equals one of those
-it came from (a cycle) is not taken again. The list ends when no layer gives a new one.
+secret found deep inside is reported where it stands in the text. A layer that was there before, with the same
+places, is not taken again, so cycles end, and layers that come about in several orders are looked at once. The
+list ends when no layer gives a new one. Where LEVELS escapes within each other were undone one by one, what is left of
+them is undone to its end in one step.
 """
 
 from __future__ import annotations
@@ -55,6 +57,14 @@ SAFE = re.compile(rb"[(),!?<>\[\]*$|~@^]|[\x80-\xff](?=[\x00-\x7f])|\0{8}")
 NOT_BASE64 = re.compile(rb"[^A-Za-z0-9+/_-]")
 #: Bytes that two blocks share where there is no such place.
 OVERLAP = 1 << 16
+#: Levels of escapes that are undone, and scanned, one by one; and the end of an escape, for those below them.
+LEVELS = 32
+ESCAPE_END = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+LONGEST_ESCAPE = 11
+#: Bytes of UTF-8 and units of UTF-16 that stand for a character together.
+TOGETHER = re.compile("[\ud800-\udbff][\udc00-\udfff]|[\udc80-\udcff]+")
+#: Layers that a document remembers, twice.
+REMEMBERED = 200_000
 #: Compressed layers directly in each other that are followed.
 DEPTH = 100
 
@@ -69,6 +79,14 @@ class Layer:
     ends: np.ndarray
     decoded: np.ndarray
     before: tuple[bytes, ...] = ()
+    level: int = 0
+
+    def state(self) -> bytes:
+        """Equal for layers of the same text, places and decoded characters."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for x in (self.starts, self.ends, self.decoded):
+            h.update(x[:1].tobytes() if not x.strides[0] else x.tobytes())
+        return h.digest() + bytes([self.level > LEVELS])
 
     def digest(self) -> bytes:
         return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -303,9 +321,46 @@ def unescaped(m: re.Match) -> str | None:
         return None
 
 
-def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
-    """The layers that a layer holds."""
+def settled(layer: Layer, start: int, end: int) -> Layer:
+    """The layer's characters start to end with all escapes undone, those that come about as well: characters are
+    put on a stack one by one, and as soon as its top is an escape, what that stands for takes its place."""
+    text, starts, ends, decoded = [], [], [], []
+    for i in range(start, end):
+        text.append(layer.text[i])
+        starts.append(layer.starts[i])
+        ends.append(layer.ends[i])
+        decoded.append(layer.decoded[i])
+        while text[-1] in "0123456789abcdefABCDEF;}" and (m := ESCAPE_END.search("".join(text[-LONGEST_ESCAPE:]))):
+            byte, *points, number = m.groups()
+            value = int(byte or next(filter(None, points), ""), 16) if number is None else int(number)
+            if value > 0x10FFFF:
+                break
+            n = len(m[0])
+            text[-n:], starts[-n:], ends[-n:], decoded[-n:] = [chr(value + 0xDC00 if byte and value > 127 else value)], [starts[-n]], [ends[-1]], [True]
+    inner = Layer("".join(text), np.array(starts), np.array(ends), np.array(decoded, bool))
+    parts = []
+    for m in TOGETHER.finditer(inner.text):
+        at = m.start()
+        if "\ud800" <= m[0][0] <= "\udbff":
+            parts.append((at, at + 2, m[0].encode("utf-16-le", "surrogatepass").decode("utf-16-le")))
+            continue
+        for c in m[0].encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape"):
+            n = len(c.encode("utf-8", "surrogateescape"))
+            parts.append((at, at + n, c))
+            at += n
+    return replaced(inner, 0, len(inner.text), parts)
+
+
+def unescapes(layer: Layer) -> Iterator[Layer]:
+    """A layer's lines with escapes undone."""
     text = layer.text
+    if layer.level > LEVELS:
+        return
+    if layer.level == LEVELS:
+        spots = [m.span() for m in chain(URL.finditer(text), UNICODE.finditer(text))]
+        for start, end, _ in lines_around(text, sorted(spots)):
+            yield settled(layer, start, end)
+        return
     if "%" in text:
         spots = []
         for m in URL.finditer(text):
@@ -321,6 +376,14 @@ def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
         spots = [(m.start(), m.end(), c) for m in UNICODE.finditer(text) if (c := unescaped(m)) is not None]
         for start, end, own in lines_around(text, [s[:2] for s in spots]):
             yield replaced(layer, start, end, [spots[i] for i in own])
+
+
+def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
+    """The layers that a layer holds."""
+    text = layer.text
+    for inner in unescapes(layer):
+        inner.level = layer.level + 1
+        yield inner
     for places in base64_runs(text):
         run = "".join(text[i:j] for i, j in places).replace("-", "+").replace("_", "/")
         run = run[: len(run) - (len(run) % 4 == 1)]
@@ -425,14 +488,21 @@ def layers(text: str, budget: Budget) -> Iterator[Layer]:
 
 
 def below(work: list[Layer], budget: Budget) -> Iterator[Layer]:
+    """The layers below those of work. If there are more than it remembers, some may come again; cycles end all the same."""
+    seen, older = set(), set()
     while work:
         layer = work.pop()
         before = (*layer.before, layer.digest())
         for inner in unwrap(layer, budget):
-            if inner.digest() not in before:
-                inner.before = before
-                yield inner
-                work.append(inner)
+            state = inner.state()
+            if state in seen or state in older or inner.digest() in before:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen, older = set(), seen
+            seen.add(state)
+            inner.before = before
+            yield inner
+            work.append(inner)
 
 
 def resumed(budget: Budget) -> Iterator[Layer]:
