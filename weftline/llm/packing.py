@@ -33,7 +33,7 @@ END_ID = 1
 #: Examples that wait in a task's pool; more of them find better fits and cost more time.
 POOL = 512
 #: Distinct words whose ids a task remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 TOKENIZER = "word_bpe_49k.json"
 

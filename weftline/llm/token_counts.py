@@ -28,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words whose counts a task remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
