@@ -63,3 +63,9 @@ def test_emits_what_the_rate_says(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
     rows = check(docs)
     assert {r.n_copies for r in rows if r.source == "a"} == {2}
+
+
+def test_rows_without_ids_or_with_one_id(spark):
+    """They are drawn each for itself, so the targets are met."""
+    rows = [(None if i % 2 else 7, f"{i} " + "w " * (1 + i % 7), "abc"[i % 3]) for i in range(900)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"))

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: tokens per source, repetition rates, floor copies and a hash-seeded one.
 
 A source's rate is its target over its size. Each of its documents is emitted floor(rate) times, and
-once more by a Bernoulli draw that is seeded by a hash of its doc_id, so that reruns and retries
-agree. The draw's probability starts as the rate's fraction. As the sum of independent draws strays
+once more by a Bernoulli draw that is seeded by a hash of its doc_id and text, so that reruns and retries
+agree, and rows that share an id or have none are drawn each for itself. The draw's probability starts as the rate's fraction. As the sum of independent draws strays
 from its mean by several hundredths in a small source, the threshold is then moved to the place, among the
 source's hashed documents, at which the words taken come nearest to the target: it differs from the
 fraction by the draws' sampling error only, and a source misses its target by less than one document (or
@@ -23,9 +23,10 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 SEED = "mix"
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """20 bits of a hash of the id."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 5), 16, 10).cast("long")
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """20 bits of a hash of the id and the text."""
+    parts = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed), F.md5(text.cast("binary")))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, 5), 16, 10).cast("long")
 
 
 def with_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -78,7 +79,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, draw by document; the thresholds by source), both materialized."""
-    sized = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), draw(F.col("doc_id")).alias("draw"))
+    sized = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), draw(F.col("doc_id"), text_of()).alias("draw"))
     sized = materialize(sized, "sizes")
     sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     return sized, materialize(thresholds(sized, with_targets(sources, weights, share, most)), "rates")
@@ -93,12 +94,12 @@ def taken_copies(docs: DataFrame, rates: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mixture itself: each document as often as the plan says, with docs' own columns.
 
-    Null texts count no words; null sources are one source, the last. Repeated rows are drawn alike, as
-    the draw depends on doc_id. An empty table gives an empty mixture.
+    Null texts count no words; null sources are one source, the last. Rows of the same id and
+    text are drawn alike (the words of such a group are one step of the threshold). An empty table gives an empty mixture.
     """
     _, rates = plan_mix(docs, weights, share, most)
     own = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), "source", draw(F.col("doc_id")).alias("draw"))
+    rows = docs.select(F.struct("*").alias("row"), "source", draw(F.col("doc_id"), text_of()).alias("draw"))
     out = taken_copies(rows, rates).where("n_copies > 0")
     return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in own])
 

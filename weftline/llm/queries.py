@@ -51,10 +51,34 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer(packing.TOKENIZER))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations, never cut, under limits on tokens, segments and loss-bearing tokens."""
+    return packing.pack_examples(packing.conversation_sizes(table(spark, sf_dir, "conversations"), public_tokenizer(packing.TOKENIZER)))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and fixed limits of op8_quality_rules, without its outliers."""
+    based = quality_rules.with_base(quality_rules.statistics(table(spark, sf_dir, "documents")))
+    return based.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_RULES_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+places AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM worded WHERE len(words) > 2),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n FROM places),
+covered AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY rid),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM worded LEFT JOIN covered USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+"""
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 5))::BIGINT AS draw
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || md5(coalesce(text, ''))), 1, 5))::BIGINT AS draw
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -102,5 +126,5 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY char
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op4_near_dedup": op4_near_dedup, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack}
-ORACLES = {"op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_mix": op2_mix, "op3_secret_scan": op3_secret_scan, "op4_near_dedup": op4_near_dedup, "op5_quality_model": op5_quality_model, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_exact_dedup": op9_exact_dedup, "op10_pack": op10_pack, "instruction_packing": instruction_packing, "quality_base_rules": quality_base_rules}
+ORACLES = {"quality_base_rules": BASE_RULES_SQL, "op2_mix": OP2_SQL, "op6_url_filter": OP6_SQL, "op9_exact_dedup": OP9_SQL}
