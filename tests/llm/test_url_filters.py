@@ -48,3 +48,9 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://b.net/")], "page_id long, url string")
     plan = u.filter_urls(pages, u.rules_frame(spark, u.RULES))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_columns_that_have_no_hash(spark):
+    pages = spark.sql("select id as page_id, concat('http://a', id, '.net/x') as url, map('k', id) as more from range(5)")
+    rules = u.rules_frame(spark, u.RULES)
+    assert {r.verdict for r in u.filter_urls(pages, rules).collect()} == {"block"}

@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Remembered, public_tokenizer
 
-#: Limits of a sequence: tokens, segments, loss-bearing tokens.
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
+#: Limits of a sequence of instruction examples: tokens, segments, loss-bearing tokens. Documents have the first one only.
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 1536
 #: The id that ends a document.
 END_ID = 1
 #: Examples that wait in a task's pool; more of them find better fits and cost more time.
@@ -107,9 +108,10 @@ class Packer:
     def __init__(self, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, pool: int = POOL, cut: bool = True):
         self.limits = np.array([tokens, segments, loss], float)
         self.room, self.segments, self.loss_room, self.pool, self.cut = tokens, segments, loss, pool, cut
-        self.size, self.loss = np.zeros(2 * pool + 2, np.int64), np.zeros(2 * pool + 2, np.int64)
-        self.who: list[tuple[int, int]] = [(0, 0)] * (2 * pool + 2)  # example, start
-        self.n, self.bins, self.cut_loss = 0, 0, cut
+        most = 2 * pool + tokens + 2
+        self.size, self.loss = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        self.who: list[tuple[int, int]] = [(0, 0)] * most  # example, start
+        self.n, self.bins, self.waiting = 0, 0, 0
 
     def add(self, example: int, size: int, loss: int | None = None) -> Iterator[Piece]:
         """loss is the loss-bearing part of size, all of it if not given; a cut needs it to be all."""
@@ -124,14 +126,16 @@ class Packer:
             raise ValueError(f"an example of {size} tokens, {loss} with loss, is above the limits")
         if size > start:
             self.size[self.n], self.loss[self.n], self.who[self.n] = size - start, size - start if loss is None else loss, (example, start)
+            self.waiting += size - start
             self.n += 1
-        while self.n >= 2 * self.pool:
+        while self.n >= 2 * self.pool and self.waiting >= self.room:  # else the pool can't fill a bin
             yield from self.fill(self.limits)
         return
 
     def take(self, i: int, length: int, bin: int, offset: int) -> Piece:
         """A piece of pool entry i; what is left of it stays."""
         example, start = self.who[i]
+        self.waiting -= length
         if length == self.size[i]:
             self.n -= 1
             self.size[i], self.loss[i], self.who[i] = self.size[self.n], self.loss[self.n], self.who[self.n]
@@ -173,16 +177,16 @@ class Packer:
                 yield from self.fill(np.array([1 << (left.bit_length() - 1), self.limits[1], self.limits[2]], float))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = END_ID, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int | None = None, max_loss: int | None = None, end_id: int = END_ID, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and ids (array of int) if with_ids.
 
     A document is its ids and end_id; null is the empty text, which is end_id alone. Every token bears
-    loss. Repeated rows are packed each; documents longer than a sequence fill whole ones. An empty
+    loss; segments and loss-bearing tokens have no limit of their own if none is given. Repeated rows are packed each; documents longer than a sequence fill whole ones. An empty
     table gives no pieces. tokenizer is a file's path, the same on all machines.
     """
     kind = docs.schema[doc_id].dataType
-    limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
+    limits = tuple(max_tokens if x is None else x for x in (max_tokens, max_segments, max_loss))
     columns = [("doc_id", kind), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
     columns += [("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
     schema = T.StructType([T.StructField(*c) for c in columns])
@@ -227,11 +231,27 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS
     return docs.select(doc_id, text).mapInArrow(pack, schema)
 
 
+def conversation_sizes(turns: DataFrame, tokenizer: str, conversation: str = "conv_id", role: str = "role", text: str = "text", bearing: str = "assistant") -> DataFrame:
+    """example_id, tokens, loss_tokens: of each conversation, its turns' ids with an end id each, and those of the
+    turns of the role that bears loss. Null is the empty text; the null conversation is one."""
+    kind = turns.schema[conversation].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            sizes = [len(enc.ids(t.as_py() or b"")) // 4 + 1 for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["example_id", "bears", "n"])
+
+    bears = F.coalesce(F.col(role) == bearing, F.lit(False))
+    counted = turns.select(conversation, bears.alias("bears"), text).mapInArrow(count, f"example_id {kind}, bears boolean, n long")
+    return counted.groupBy("example_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("loss_tokens"))
+
+
 def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, example_id: str = "example_id", tokens: str = "tokens", loss: str = "loss_tokens") -> DataFrame:
     """Instruction examples, which are never cut: example_id, tokens, loss_tokens, sequence_id, offset.
 
     Counts that are null are 0; an example of no tokens gets no place and no row. One that
-    is above a limit alone is an error, as it can't be placed whole.
+    is above a limit alone can't be placed whole: its sequence_id and offset are null.
     """
     schema = T.StructType([T.StructField("example_id", examples.schema[example_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("tokens", "loss_tokens", "sequence_id", "offset")])
 
@@ -239,7 +259,7 @@ def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segment
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, first = to_arrow_schema(schema), TaskContext.get().partitionId() << 36
-        packer, held, n = Packer(max_tokens, max_segments, max_loss, cut=False), {}, 0
+        packer, held, n, unplaced = Packer(max_tokens, max_segments, max_loss, cut=False), {}, 0, []
 
         def made(pieces: list[Piece]) -> pa.RecordBatch:
             rows = [(*held.pop(p.example), first + p.bin, p.offset) for p in pieces]
@@ -247,10 +267,16 @@ def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segment
 
         for b in batches:
             for i, size, bears in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (size or 0) > max_tokens or (bears or 0) > max_loss:
+                    unplaced.append((i, size, bears or 0, None, None))
+                    continue
                 held[n] = (i, size or 0, bears or 0)
                 if pieces := list(packer.add(n, size or 0, bears or 0)):
                     yield made(pieces)
                 n += 1
+            if unplaced:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*unplaced, strict=True), arrow.types, strict=True)], schema=arrow)
+                unplaced.clear()
         if pieces := list(packer.finish()):
             yield made(pieces)
 

@@ -15,6 +15,7 @@ are shuffled once, and nothing is broadcast or collected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,8 +77,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     spark = pages.sparkSession
     n = chunks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
-    rows = rows.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("array<struct<len:int,host_len:int,rule:string,path:string,verdict:string>>").alias("stack"), F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("chunk"))
+    hashed = [F.col(f"`{c.name}`") for c in pages.schema if not re.search("map<|variant", c.dataType.simpleString())]  # those can't be hashed
+    chunk = F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int")
+    rows = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"), chunk.alias("chunk"))
+    rows = rows.select("row", "host", "path", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("array<struct<len:int,host_len:int,rule:string,path:string,verdict:string>>").alias("stack"), "chunk")
     marks = boundaries(rules).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).groupBy("chunk", "key", "kind").agg(F.max_by("stack", F.size("stack")).alias("stack"))
     both = rows.unionByName(marks, allowMissingColumns=True)
     sweep = Window.partitionBy("chunk").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
