@@ -2,14 +2,16 @@
 
 Each kind of PII is one pass of a regular expression over the text; a match may have to meet a condition
 that no regular expression can say (a checksum, a range, a label nearby). Such passes split the text
-at the matches, decide each match, and put the parts together again.
+at the matches, decide each match, and put the parts together again. Before a pattern is tried at all, a cheap
+test says whether the text may have a match.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "ssn", "credit_card", "ip")
@@ -22,14 +24,13 @@ B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 S = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 # What counts as each kind.
-EMAIL = rf"{B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{B}"
+EMAIL = rf"{B}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{B}"
 SSN = rf"{B}[0-9]{{3}}(?:-|{S})[0-9]{{2}}(?:-|{S})[0-9]{{4}}{B}"
 NINE_DIGITS = r"(?<![0-9])[0-9]{9}(?![0-9])"
 LABEL = rf"(?i){B}(?:ssn|social{S}*security){B}"
 CARD = rf"{B}(?:[0-9][ -]?){{13,19}}{B}"
-_H = "[0-9A-Fa-f]{1,4}"
 IPV4 = rf"{B}(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{B}"
-IPV6 = "(?<![0-9A-Fa-f:.])(?:" + "|".join([rf"(?:{_H}:){{7}}{_H}", rf"(?:{_H}:){{1,7}}:", *(rf"(?:{_H}:){{1,{7 - k}}}(?::{_H}){{1,{k}}}" if k > 1 else rf"(?:{_H}:){{1,6}}:{_H}" for k in range(1, 6)), rf"{_H}:(?::{_H}){{1,6}}", rf":(?:(?::{_H}){{1,7}}|:)"]) + ")(?![0-9A-Fa-f:.])"
+IPV6 = r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,5}(?::[0-9A-Fa-f]{1,4}){1,2}|(?:[0-9A-Fa-f]{1,4}:){1,4}(?::[0-9A-Fa-f]{1,4}){1,3}|(?:[0-9A-Fa-f]{1,4}:){1,3}(?::[0-9A-Fa-f]{1,4}){1,4}|(?:[0-9A-Fa-f]{1,4}:){1,2}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?:(?::[0-9A-Fa-f]{1,4}){1,7}|:))(?![0-9A-Fa-f:.])"
 PHONE = rf"(?:\+[0-9]{{1,3}}(?:{S}|[.-])?)?(?:\([0-9]{{1,4}}\)(?:{S}|[.-])?)?[0-9]{{2,4}}(?:{S}|[.-])[0-9]{{3,4}}(?:(?:{S}|[.-])[0-9]{{3,4}})?{B}|(?<![0-9])(?:\+[0-9]{{1,3}})?[0-9]{{10}}(?![0-9])"
 
 
@@ -46,45 +47,69 @@ def ipv4_ok(match: Column) -> Column:
     return F.contains(match, F.lit(":")) | F.forall(F.split(match, r"\."), lambda p: F.try_to_number(p, F.lit("999")) <= 255)
 
 
-def replace_if(text: Column, pattern: str, new: str, accept: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """text with new for the matches that accept, and how many these are."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(parts, matches, lambda p, m: F.concat(p, F.coalesce(F.when(accept(m), F.lit(new)).otherwise(m), F.lit("")))), "")
-    return joined, F.size(F.filter(matches, accept))
+def near_label(matches: Column, parts: Column) -> Column:
+    """For each match whether a label stands near it. parts: the text between the matches. What stands near is put together from the few
+    parts and matches next to it, so a match costs the same however many there are."""
+    around = range(LABEL_DISTANCE // 9 + 2)  # matches have nine digits
 
+    def one(m: Column, i: Column) -> Column:
+        before = [x for k in reversed(around) for x in (F.get(matches, i - k - 1), F.get(parts, i - k))]
+        after = [x for k in around for x in (F.get(parts, i + k + 1), F.get(matches, i + k + 1))]
+        sides = (F.right(F.concat_ws("", *before), F.lit(LABEL_DISTANCE)), F.left(F.concat_ws("", *after), F.lit(LABEL_DISTANCE)))
+        return F.regexp_like(sides[0], F.lit(LABEL)) | F.regexp_like(sides[1], F.lit(LABEL))
 
-def replace_labelled(text: Column, pattern: str, new: str, width: int) -> tuple[Column, Column]:
-    """text with new for the matches (all of one width) near which a label stands, and how many these are."""
-    parts = F.split(text, pattern, -1)
-    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, q: n + F.length(q)) + i * width)
-    labelled = F.transform(ends, lambda e: F.regexp_like(F.substring(text, F.greatest(e - LABEL_DISTANCE, F.lit(0)) + 1, F.least(e, F.lit(LABEL_DISTANCE))), F.lit(LABEL)) | F.regexp_like(F.substring(text, e + width + 1, F.lit(LABEL_DISTANCE)), F.lit(LABEL)))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    chosen = F.zip_with(matches, F.slice(labelled, F.lit(1), F.size(matches)), lambda m, ok: F.when(ok, F.lit(new)).otherwise(m))
-    return F.array_join(F.zip_with(parts, chosen, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""), F.size(F.filter(chosen, lambda m: m == new))
+    return F.transform(matches, one)
 
 
-def _plain(text: Column, pattern: str, kind: str) -> tuple[Column, Column]:
-    return F.regexp_replace(text, pattern, token(kind)), F.regexp_count(text, F.lit(pattern))
+@dataclass(frozen=True)
+class Pass:
+    """kind: what it counts as; pattern; may_have: a cheap test without which nothing matches; accept: which of the matches
+    (given the parts between them) are replaced, all if None."""
 
+    kind: str
+    pattern: str
+    may_have: Callable[[Column], Column]
+    accept: Callable[[Column, Column], Column] | None = None
 
-#: Passes in their order, each over what the one before made.
-PASSES: tuple[tuple[str, str, Callable[[Column], tuple[Column, Column]]], ...] = (
-    ("email", "email", lambda t: _plain(t, EMAIL, "email")),
-    ("ssn", "ssn", lambda t: _plain(t, SSN, "ssn")),
-    ("ssn_bare", "ssn", lambda t: replace_labelled(t, NINE_DIGITS, token("ssn"), 9)),
-    ("credit_card", "credit_card", lambda t: replace_if(t, CARD, token("credit_card"), luhn_ok)),
-    ("ip", "ip", lambda t: replace_if(t, f"{IPV4}|{IPV6}", token("ip"), ipv4_ok)),
-    ("phone", "phone", lambda t: _plain(t, PHONE, "phone")),
-)
+
+def has(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: F.regexp_like(t, F.lit(pattern))
 
 
-def one_pass(text: Column, name: str) -> tuple[Column, Column]:
-    """The text after one pass alone, and the number of replacements."""
-    return {n: f for n, _, f in PASSES}[name](text)
+CARDS = Pass("credit_card", CARD, has("(?:[0-9][ -]?){13}"), lambda ms, _: F.transform(ms, luhn_ok))
+IPS = lambda pattern: Pass("ip", pattern, has(r"[0-9]\.[0-9]{1,3}\.[0-9]|:[0-9A-Fa-f]*:"), lambda ms, _: F.transform(ms, ipv4_ok))
+#: Passes in their order, each over what the one before made.
+PASSES: dict[str, Pass] = {
+    "email": Pass("email", EMAIL, lambda t: F.contains(t, F.lit("@"))),
+    "ssn": Pass("ssn", SSN, has(rf"[0-9](?:-|{S})[0-9]{{2}}(?:-|{S})[0-9]{{4}}")),
+    "ssn_bare": Pass("ssn", NINE_DIGITS, has("[0-9]{9}"), near_label),
+    "credit_card": CARDS,
+    "ip": IPS(f"{IPV4}|{IPV6}"),
+    "phone": Pass("phone", PHONE, has(rf"[0-9](?:{S}|[.)-])*[0-9]{{3}}")),
+}
 
 
-def with_redaction(df, text: str = "text", types: Sequence[str] | None = None, out: str = "redacted", counts: str = "counts"):
+def with_pass(df: DataFrame, step: Pass, text: str, out: str, hits: str) -> DataFrame:
+    """df with the text after one pass alone, and the number of replacements (null where the text is null).
+
+    The matches are found once, as a column of their own; a text without any stays as it is.
+    """
+    t, ms, parts, ok = F.col(text), "_matches", "_parts", "_accepted"
+    found = F.when(step.may_have(t), F.regexp_extract_all(t, F.lit(step.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn(ms, F.when(t.isNotNull(), found))
+    some = F.size(ms) > 0
+    if step.accept is None:
+        replaced = F.when(some, F.regexp_replace(t, step.pattern, token(step.kind))).otherwise(t)
+        return df.withColumns({out: replaced, hits: F.size(ms)}).drop(ms)
+    df = df.withColumn(parts, F.when(some, F.split(t, step.pattern, -1)))
+    df = df.withColumn(ok, F.when(some, step.accept(F.col(ms), F.col(parts))).otherwise(F.array().cast("array<boolean>")))
+    new = F.zip_with(F.col(ms), F.col(ok), lambda m, yes: F.when(yes, F.lit(token(step.kind))).otherwise(m))
+    joined = F.array_join(F.zip_with(F.col(parts), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    chosen = F.when(F.array_contains(ok, True), joined).otherwise(t)
+    return df.withColumns({out: chosen, hits: F.when(t.isNotNull(), F.size(F.filter(ok, lambda x: x)))}).drop(ms, parts, ok)
+
+
+def with_redaction(df: DataFrame, text: str = "text", types: Sequence[str] | None = None, out: str = "redacted", counts: str = "counts") -> DataFrame:
     """df with the redacted text and a map of counts by type (types without a hit are left out).
 
     types: None for all, [] for none. Texts above MAX_TEXT characters raise an error; null stays null.
@@ -94,17 +119,14 @@ def with_redaction(df, text: str = "text", types: Sequence[str] | None = None, o
         raise ValueError(f"unknown redaction types: {', '.join(sorted(unknown))}")
     step = F.when(F.length(text) > MAX_TEXT, F.raise_error(F.lit(f"text input is larger than {MAX_TEXT} bytes"))).otherwise(F.col(text))
     df, found = df.withColumn("_text0", step), []
-    k = 0
-    for _, kind, run in PASSES:
-        if types is not None and kind not in types:
-            continue
-        new, n = run(F.col(f"_text{k}"))
-        df = df.withColumns({f"_text{k + 1}": new, f"_n{k}": n})
-        found.append((kind, f"_n{k}"))
-        k += 1
+    for one in PASSES.values():
+        if types is None or one.kind in types:
+            k = len(found)
+            df = with_pass(df, one, f"_text{k}", f"_text{k + 1}", f"_n{k}")
+            found.append((one.kind, f"_n{k}"))
     sums: dict[str, Column] = {}
     for kind, c in found:
         sums[kind] = sums[kind] + F.col(c) if kind in sums else F.col(c)
     pairs = F.array(*(F.struct(F.lit(kind).alias("key"), n.cast("int").alias("value")) for kind, n in sums.items())) if sums else F.expr("cast(array() as array<struct<key:string,value:int>>)")
-    df = df.withColumns({out: F.col(f"_text{k}"), counts: F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))})
-    return df.drop(*(f"_text{i}" for i in range(k + 1)), *(c for _, c in found))
+    df = df.withColumns({out: F.col(f"_text{len(found)}"), counts: F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))})
+    return df.drop(*(f"_text{i}" for i in range(len(found) + 1)), *(c for _, c in found))
