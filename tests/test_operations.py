@@ -190,3 +190,43 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["pipeline", "plan", str(tmp_path / "s.json")]) == 0 and json.loads(capsys.readouterr().out)["nodeCount"] == 1
     assert cli.main(["transform", "json", "yaml", str(tmp_path / "d.json")]) == 0 and capsys.readouterr().out == "a: 1\n"
     assert cli.main(["pdf", "pages", str(one)]) == 1 and cli.main(["pipeline", "validate", str(tmp_path / "s.json")]) == 0
+
+
+def test_events_belong_to_open_calls_of_their_name(spark):
+    trace = spark.createDataFrame(
+        [("node-enter", "r1", "c1", "a", 0), ("node-exit", "r1", "c1", "a", 10), ("node-enter", "r1", "c2", "b", 5), ("node-exit", "r1", "c2", "b", 100),
+         ("node-enter", "r2", "c3", "b", 20), ("node-enter", "r2", "c4", None, 0), ("node-enter", "r1", "c5", "b", 30), ("node-exit", "r1", "c5", "b", 40)],
+        "kind string, run_id string, call_id string, name string, at_ms long",
+    )
+    asked = [
+        (1, "a", "r1", None, 7, "c1"), (2, "a", "r1", None, 20, None), (3, None, "r1", None, 50, None), (4, "b", "r1", None, 50, "c2"), (5, "b", "r1", "c2", 35, "c2"),
+        (6, "b", None, None, 35, "c5"), (7, "b", None, None, 50, "c3"), (8, "b", "r9", None, 5000, "c3"), (9, "b", "r1", "c5", 41, "c2"), (10, "", None, None, 50, None), (11, "zz", None, None, 5, None),
+    ]
+    events = spark.createDataFrame([x[:5] for x in asked], "id long, name string, run_id string, call_id string, at_ms long")
+    for part in (events, events.repartition(3)):
+        assert {r.id: r.span_call_id for r in telemetry.events_on_spans(part, trace).collect()} == {x[0]: x[5] for x in asked}
+    assert telemetry.events_on_spans(events.limit(0), trace).count() == 0
+
+
+def test_unsent_requests_are_kept_up_to_a_bound(spark):
+    posted = spark.createDataFrame([(f"p{i}", i % 2 == 0, None) for i in range(10)], "payload string, ok boolean, error string").coalesce(1)
+    first = telemetry.unsent(posted)
+    assert sorted(r.payload for r in first.collect()) == ["p1", "p3", "p5", "p7", "p9"]
+    again = telemetry.unsent(posted.where("payload = 'p1'"), first, 3)
+    assert sorted(r.payload for r in again.collect()) == ["p1", "p7", "p9"]
+
+
+def test_null_handles_stay_null(spark):
+    from weftline.sources import blobs
+
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "id long, text string")
+    stored = blobs.put(rows, "text")
+    handles = rows.select("id", blobs.handle(F.col("text"), "text/plain").alias("h")).select("id", "h.*")
+    assert {r.id: r.content for r in blobs.get(handles, stored).collect()} == {1: b"x", 2: None}
+
+
+def test_handle_names_over_partitions(spark):
+    from weftline.sources import files
+
+    rows = spark.createDataFrame([(i, "image/png" if i % 2 else "x/y") for i in range(20)], "pos long, type string").repartition(4)
+    assert [r.name for r in files.handle_names(rows).orderBy("pos").collect()] == [f"handle-{i + 1}.{'png' if i % 2 else 'bin'}" for i in range(20)]

@@ -1,75 +1,82 @@
 """Reliability operators as ordered folds: token bucket, circuit breaker, adaptive concurrency.
 
-Each key's calls, in order of time and id, are folded by the same transition that the streaming
-twins use (weftline.streaming). Batch folds run as one higher-order function over a key's sorted calls:
-a key's calls meet in one row, as a state machine needs them in order.
+Each key's calls, in order of time and id, are folded by the transitions of the streaming twins
+(weftline.streaming). Rows are dealt by key and sorted within partitions, and go by one at a time: a key's calls never
+meet in one row or in memory, however many there are. A key's calls are one task's, as a state machine needs them in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def calls_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[str], fields: dict[str, Column]) -> DataFrame:
-    """key, calls: each key's calls in order."""
-    call = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), *(c.alias(n) for n, c in fields.items()))
-    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(call)).alias("calls"))
+from pyspark.sql import types as T
+
+from weftline.streaming import twins
+
+
+def folded(rows: DataFrame, key: Sequence[str], order: Sequence[str], now_ms: Column, cost: Column, ok: Column, of: tuple, decisions: dict[str, Sequence[str]], kept: dict[str, int]) -> DataFrame:
+    """key, calls, a count for each of decisions (name: the decisions that count), and the parts of the last state that
+    are kept (name: place in it)."""
+    first, declared, step = of
+    state_types = [t.split()[1] for t in declared.split(", ")]
+    calls = rows.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), *(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), now_ms.cast("long").alias("now"), cost.cast("double").alias("cost"), ok.alias("ok"))
+    keys, orders = [f"k{i}" for i in range(len(key))], [f"o{i}" for i in range(len(order))]
+    fields = [T.StructField(k, rows.schema[k].dataType) for k in key]
+    fields += [T.StructField(n, T.LongType()) for n in ("calls", *decisions)]
+    schema = T.StructType(fields + [T.StructField(n, T._parse_datatype_string(state_types[i])) for n, i in kept.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, at, state, n, counts, done = to_arrow_schema(schema), None, first, 0, {}, []
+
+        def close() -> None:
+            if at is not None:
+                done.append((*at, n, *(sum(counts.get(d, 0) for d in ds) for ds in decisions.values()), *(state[i] for i in kept.values())))
+
+        def passed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(arrow.types)], schema=arrow)
+            done.clear()
+            return out
+
+        for b in batches:
+            own = zip(*(b.column(k).to_pylist() for k in keys), strict=True)
+            for k, now, c, fine in zip(own, *(b.column(x).to_pylist() for x in ("now", "cost", "ok")), strict=True):
+                if k != at:
+                    close()
+                    at, state, n, counts = k, first, 0, {}
+                state, said = step(state, now or 0, c or 0.0, bool(fine))
+                n += 1
+                counts[said] = counts.get(said, 0) + 1
+            if done:
+                yield passed()
+        close()
+        if done:
+            yield passed()
+
+    ordered = calls.repartition(*keys).sortWithinPartitions(*keys, *orders).select(*keys, "now", "cost", "ok")
+    return ordered.mapInArrow(run, schema)
 
 
 def token_bucket(rows: DataFrame, key: Sequence[str], order: Sequence[str], now_ms: Column, cost: Column, capacity: float, per_ms: float) -> DataFrame:
     """key, calls, granted, denied, tokens: a bucket that starts full and is refilled with time. A cost that is
     negative is an error; one above the capacity is always denied."""
-    grouped = calls_by_key(rows, key, order, {"now": now_ms.cast("double"), "cost": F.when(cost < 0, F.raise_error(F.lit("cost must not be negative")).cast("double")).otherwise(cost.cast("double"))})
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.element_at("calls", 1)["now"].alias("last"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("denied"))
-
-    def step(s: Column, c: Column) -> Column:
-        full = F.least(F.lit(float(capacity)), s["tokens"] + F.greatest(F.lit(0.0), c["now"] - s["last"]) * F.lit(float(per_ms)))
-        ok = full >= c["cost"]
-        return F.struct((full - F.when(ok, c["cost"]).otherwise(F.lit(0.0))).alias("tokens"), c["now"].alias("last"), (s["granted"] + ok.cast("long")).alias("granted"), (s["denied"] + (~ok).cast("long")).alias("denied"))
-
-    done = grouped.select(*key, F.size("calls").cast("long").alias("calls"), F.aggregate("calls", start, step).alias("s"))
-    return done.select(*key, "calls", "s.granted", "s.denied", "s.tokens")
+    of = twins.bucket(capacity, per_ms)
+    return folded(rows, key, order, now_ms, cost, F.lit(True), of, {"granted": ["granted"], "denied": ["denied"]}, {"tokens": 0})
 
 
 def circuit_breaker(rows: DataFrame, key: Sequence[str], order: Sequence[str], now_ms: Column, ok: Column, threshold: int, cooldown_ms: int, half_open: int) -> DataFrame:
     """key, calls, allowed, refused, opened, closed_again, state: closed opens after threshold failures in a row;
     open refuses until the cooldown is over, then lets calls try; half_open successes close it, a failure opens it again."""
-    grouped = calls_by_key(rows, key, order, {"now": now_ms.cast("long"), "ok": ok})
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("fails"), F.lit(0).alias("wins"), F.lit(None).cast("long").alias("since"), *(F.lit(0).cast("long").alias(n) for n in ("allowed", "refused", "opened", "closed_again")))
-
-    def step(s: Column, c: Column) -> Column:
-        ready = (s["state"] == "open") & (c["now"] - s["since"] >= cooldown_ms)
-        refuse = (s["state"] == "open") & ~ready
-        trial = ready | (s["state"] == "half-open")
-        wins = F.when(ready, F.lit(0)).otherwise(s["wins"]) + F.when(trial & c["ok"], F.lit(1)).otherwise(F.lit(0))
-        close = trial & c["ok"] & (wins >= half_open)
-        fails = F.when(trial, s["fails"]).when(c["ok"], F.lit(0)).otherwise(s["fails"] + 1)
-        opens = ~refuse & ~c["ok"] & (trial | (fails >= threshold))
-        state = F.when(refuse, s["state"]).when(opens, F.lit("open")).when(close, F.lit("closed")).when(trial, F.lit("half-open")).otherwise(F.lit("closed"))
-        return F.struct(
-            state.alias("state"), F.when(refuse, s["fails"]).when(close, F.lit(0)).otherwise(fails).alias("fails"), F.when(refuse, s["wins"]).when(close | opens, F.lit(0)).otherwise(wins).alias("wins"),
-            F.when(opens, c["now"]).otherwise(s["since"]).alias("since"), (s["allowed"] + (~refuse).cast("long")).alias("allowed"), (s["refused"] + refuse.cast("long")).alias("refused"),
-            (s["opened"] + opens.cast("long")).alias("opened"), (s["closed_again"] + close.cast("long")).alias("closed_again"),
-        )
-
-    done = grouped.select(*key, F.size("calls").cast("long").alias("calls"), F.aggregate("calls", start, step).alias("s"))
-    return done.select(*key, "calls", "s.allowed", "s.refused", "s.opened", "s.closed_again", "s.state")
+    counted = {"allowed": ["allowed", "opened", "closed"], "refused": ["refused"], "opened": ["opened"], "closed_again": ["closed"]}
+    return folded(rows, key, order, now_ms, F.lit(0.0), ok, twins.breaker(threshold, cooldown_ms, half_open), counted, {"state": 0})
 
 
 def aimd(rows: DataFrame, key: Sequence[str], order: Sequence[str], ok: Column, start: int = 4, least: int = 1, most: int = 64) -> DataFrame:
     """key, calls, increases, decreases, limit: the limit grows by one after as many successes as it is, and halves at a failure."""
-    least, most = max(1, least), max(max(1, least), most)
-    first = min(most, max(least, start))
-    grouped = calls_by_key(rows, key, order, {"ok": ok})
-    zero = F.struct(F.lit(first).cast("long").alias("limit"), *(F.lit(0).cast("long").alias(n) for n in ("run", "increases", "decreases")))
-
-    def step(s: Column, c: Column) -> Column:
-        grow = c["ok"] & (s["run"] + 1 >= s["limit"])
-        limit = F.when(grow, F.least(F.lit(most), s["limit"] + 1)).when(c["ok"], s["limit"]).otherwise(F.greatest(F.lit(least), F.floor(s["limit"] / 2)))
-        return F.struct(limit.cast("long").alias("limit"), F.when(c["ok"] & ~grow, s["run"] + 1).otherwise(F.lit(0)).cast("long").alias("run"), (s["increases"] + grow.cast("long")).alias("increases"), (s["decreases"] + (~c["ok"]).cast("long")).alias("decreases"))
-
-    done = grouped.select(*key, F.size("calls").cast("long").alias("calls"), F.aggregate("calls", zero, step).alias("s"))
-    return done.select(*key, "calls", "s.increases", "s.decreases", "s.limit")
+    least = max(1, least)
+    of = twins.limiter(start, least, max(least, most))
+    return folded(rows, key, order, F.lit(0), F.lit(0.0), ok, of, {"increases": ["increase"], "decreases": ["decrease"]}, {"limit": 0})

@@ -18,7 +18,10 @@ POLICIES = ("last-write-wins", "union", "keep-first")
 
 
 def faithful_union(rows: DataFrame, group: Sequence[str], pos: str = "pos", sha: str = "sha256", text: str = "text") -> DataFrame:
-    """group, text, sha256, size: in order of pos, each distinct document once, under a line that names it."""
+    """group, text, sha256, size: in order of pos, each distinct document once, under a line that names it.
+
+    A group's text is one value, 2 GB at most: cut groups that grow with the data into blocks, as blocks() does.
+    """
     first = rows.groupBy(*group, sha).agg(F.min(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))).alias("f"))
     block = F.concat(F.lit("<!-- source: cas/"), F.col(sha), F.lit(" -->\n"), F.col("f.text"))
     blocks = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("f.pos").alias("pos"), block.alias("block")))).alias("b"))
@@ -26,6 +29,11 @@ def faithful_union(rows: DataFrame, group: Sequence[str], pos: str = "pos", sha:
     return out.withColumns({"sha256": F.sha2("text", 256), "size": F.octet_length("text").cast("long")})
 
 
+def blocks(pos: Column, size: int) -> Column:
+    """Number of the block that a position is in. With it in the group no result grows with the data."""
+    return F.floor(pos / size).cast("long")
+
+
 def last_write_wins(rows: DataFrame, group: Sequence[str], value: Column, produced_at: str = "produced_at", pos: str = "pos") -> DataFrame:
     """group, winner: the value that was produced last, of equals the later one. A row without a time is an error."""
     bad = F.count_if(F.col(produced_at).isNull())
@@ -53,13 +61,15 @@ def field_merge(rows: DataFrame, group: Sequence[str], pos: str = "pos", doc: st
     items = F.when(is_array, F.transform(F.from_json("_json", "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array("_json"))
     fields = fields.withColumn("_items", items)
     order = F.struct("_pos", "_key_pos")
-    kept = fields.groupBy(*group, "key").agg(
-        F.min(order).alias("_first"), F.max_by("_json", order).alias("_last"), F.min_by("_json", order).alias("_keep"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("_items").alias("i")))), lambda x: x["i"]))).alias("_union"),
-    )
     chosen = F.lit(default)
     for key, p in (policy or {}).items():
         chosen = F.when(F.col("key") == key, F.lit(p)).otherwise(chosen)
+    # only what is united is gathered; of all other fields one value stays in each partition
+    united = F.collect_list(F.when(chosen == "union", F.struct(order.alias("o"), F.col("_items").alias("i"))))
+    kept = fields.groupBy(*group, "key").agg(
+        F.min(order).alias("_first"), F.max_by("_json", order).alias("_last"), F.min_by("_json", order).alias("_keep"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(united), lambda x: x["i"]))).alias("_union"),
+    )
     value = F.when(chosen == "union", F.concat(F.lit("["), F.array_join("_union", ","), F.lit("]"))).when(chosen == "keep-first", F.col("_keep")).otherwise(F.col("_last"))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("key").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
     parts = kept.select(*group, "_first", F.concat(quoted, F.lit(":"), value).alias("_part"))

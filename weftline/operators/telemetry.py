@@ -6,13 +6,16 @@ events: kind, name, run_id, call_id, at_ms, limit (and more).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Upper bounds of the duration histogram's buckets, each inclusive, in ms.
 BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+#: Slices of time that events are dealt to, at most.
+SLICES = 4096
 EVENT_KINDS = ("breaker-open", "breaker-half-open", "breaker-close", "aimd-increase", "aimd-decrease", "token-wait", "retry-attempt", "memo-hit", "memo-miss")
 
 
@@ -44,13 +47,71 @@ def spans(trace: DataFrame) -> DataFrame:
 
 
 def events_on_spans(events: DataFrame, trace: DataFrame) -> DataFrame:
-    """Each event with the call it belongs to: its own call_id's, else the last one its run entered before it, else
-    the last one of its name."""
-    enters = trace.where("kind = 'node-enter'").select(F.col("run_id").alias("e_run"), F.col("call_id").alias("e_call"), F.col("name").alias("e_name"), F.col("at_ms").alias("e_at"))
-    e = events.withColumn("_id", F.monotonically_increasing_id())
-    by_run = e.where("call_id is null").join(enters, (F.col("run_id") == F.col("e_run")) & (F.col("e_at") <= F.col("at_ms"))).groupBy("_id").agg(F.max_by("e_call", F.struct("e_at", "e_call")).alias("by_run"))
-    by_name = e.where("call_id is null and run_id is null").join(enters, (F.col("name") == F.col("e_name")) & (F.col("e_at") <= F.col("at_ms"))).groupBy("_id").agg(F.max_by("e_call", F.struct("e_at", "e_call")).alias("by_name"))
-    return e.join(by_run, "_id", "left").join(by_name, "_id", "left").withColumn("span_call_id", F.coalesce("call_id", "by_run", "by_name")).drop("_id", "by_run", "by_name")
+    """events with span_call_id: the call each belongs to, or null.
+
+    Only calls of the event's name that are open at its time count: its own call_id's, else the one of its run that was
+    entered last, else the one entered last of all. Events without a name belong to none. A call is open from its
+    enter to its exit, both included, or for ever.
+
+    One ordered pass for each name and slice of time. A call stands in each slice it is open in; slices are so wide that
+    calls stand in two on average at most. So neither a name with a third of all events nor a long call makes a task large.
+    """
+    named = F.col("name").isNotNull() & (F.col("name") != "")
+    enter, leave = F.col("kind") == "node-enter", F.col("kind") == "node-exit"
+    calls = trace.where(named).groupBy("name", "run_id", "call_id").agg(F.min(F.when(enter, F.col("at_ms"))).alias("start"), F.min(F.when(leave, F.col("at_ms"))).alias("end")).where("start is not null")
+    row = F.struct(*events.columns)
+    asked = events.select("name", "at_ms", "run_id", "call_id", row.alias("row"))
+    extent = asked.where(named).agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high")).first()
+    nobody = events.where(~F.coalesce(named, F.lit(False))).withColumn("span_call_id", F.lit(None).cast(trace.schema["call_id"].dataType))
+    if extent["low"] is None:
+        return nobody
+    low, high = extent["low"], extent["high"]
+    ends = F.least(F.coalesce("end", F.lit(high)), F.lit(high))
+    open_then = calls.where((F.col("start") <= high) & (ends >= low))
+    mean = open_then.agg(F.avg(ends - F.greatest("start", F.lit(low)))).first()[0] or 0
+    width = max(1.0, mean, (high - low) / SLICES)
+    slice_of = lambda t: F.floor((t - F.lit(low)) / F.lit(width)).cast("long")
+    first, last = slice_of(F.greatest("start", F.lit(low))), slice_of(ends)
+    spans_in = open_then.select("name", F.explode(F.sequence(first, last)).alias("slice"), "start", F.lit(0).alias("rank"), "run_id", "call_id", "end", F.lit(None).cast(row_type(events)).alias("row"))
+    # calls open when a slice begins come first in it, by their start as all others
+    points = asked.where(named).select("name", slice_of(F.col("at_ms")).alias("slice"), F.col("at_ms").alias("start"), F.lit(1).alias("rank"), "run_id", "call_id", F.lit(None).cast(calls.schema["end"].dataType).alias("end"), "row")
+    ordered = spans_in.unionByName(points).repartition("name", "slice").sortWithinPartitions("name", "slice", "start", "rank", "call_id")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, of_call, of_run, all_open = None, {}, {}, []
+
+        def innermost(stack: list, t) -> object:
+            while stack and stack[-1][1] is not None and stack[-1][1] < t:
+                stack.pop()  # times rise, so it stays closed
+            return stack[-1][0] if stack else None
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("name", "slice", "start", "rank", "run_id", "call_id", "end")]
+            places, found = [], []
+            for i, (name, part, t, rank, run, call, end) in enumerate(zip(*columns, strict=True)):
+                if (name, part) != at:
+                    at, of_call, of_run, all_open = (name, part), {}, {}, []
+                if rank == 0:
+                    of_call[call] = end
+                    of_run.setdefault(run, []).append((call, end))
+                    all_open.append((call, end))
+                    continue
+                own = call is not None and call in of_call and (of_call[call] is None or of_call[call] >= t)
+                said = call if own else None
+                if said is None and run is not None:
+                    said = innermost(of_run.get(run, []), t)
+                places.append(i)
+                found.append(innermost(all_open, t) if said is None else said)
+            if places:
+                yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(places)), pa.array(found, b.column("call_id").type)], ["row", "span_call_id"])
+
+    kind = trace.schema["call_id"].dataType.simpleString()
+    swept = ordered.mapInArrow(sweep, f"row {row_type(events)}, span_call_id {kind}")
+    return swept.select("row.*", "span_call_id").unionByName(nobody)
+
+
+def row_type(df: DataFrame) -> str:
+    return df.schema.simpleString()
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -110,7 +171,7 @@ def _payload(outer: str, inner: str, body: Column, service: str) -> Column:
 
 
 def post(payloads: DataFrame, send) -> DataFrame:
-    """payload, ok, error: each request sent by send(text) from the workers. What fails is kept for the next flush."""
+    """payload, ok, error: each request sent by send(text) from the workers. What fails is kept for the next flush: see unsent()."""
     import pandas as pd
 
     def run(frames):
@@ -125,3 +186,12 @@ def post(payloads: DataFrame, send) -> DataFrame:
             yield pd.DataFrame(rows, columns=["payload", "ok", "error"])
 
     return payloads.select("payload").mapInPandas(run, "payload string, ok boolean, error string")
+
+
+def unsent(posted: DataFrame, before: DataFrame | None = None, most: int = 2048) -> DataFrame:
+    """payload, seq of the requests that failed, to be sent with the next flush: of more than most the latest stay.
+    before: what an earlier flush left, which is older. posted: payload, ok, error."""
+    failed = posted.where(~F.col("ok")).select("payload", F.monotonically_increasing_id().alias("seq"))
+    if before is not None:
+        failed = before.select("payload", (F.col("seq") - F.lit(1 << 60)).alias("seq")).unionByName(failed)
+    return failed.orderBy(F.desc("seq")).limit(most)

@@ -31,11 +31,13 @@ def put_new(rows: DataFrame, content: str, blobs: DataFrame) -> DataFrame:
 
 
 def get(rows: DataFrame, blobs: DataFrame, sha: str = "sha256", size: str = "size") -> DataFrame:
-    """rows with content. A digest that is not stored, bytes of another size or of another digest are errors."""
+    """rows with content. A digest that is not stored, bytes of another size or of another digest are errors; a null
+    digest has null content."""
     b = blobs.select(F.col("sha256").alias("_sha"), F.col("content").alias("_content"))
     joined = rows.join(b, F.col(sha) == F.col("_sha"), "left")
     checked = (
-        F.when(F.col("_content").isNull(), F.raise_error(F.concat(F.lit("handle not found: "), F.coalesce(F.col(sha), F.lit("null")))).cast("binary"))
+        F.when(F.col(sha).isNull(), F.lit(None).cast("binary"))
+        .when(F.col("_content").isNull(), F.raise_error(F.concat(F.lit("handle not found: "), F.col(sha))).cast("binary"))
         .when(F.octet_length("_content") != F.col(size), F.raise_error(F.lit("size mismatch")).cast("binary"))
         .when(F.sha2("_content", 256) != F.col(sha), F.raise_error(F.lit("sha256 mismatch")).cast("binary"))
         .otherwise(F.col("_content"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import archive, blobs
 
@@ -37,8 +38,8 @@ def hydrated_refs(spark: SparkSession, refs: DataFrame, base: str) -> DataFrame:
 
 
 def write_bytes(rows: DataFrame, folder: str, name: str = "name", content: str = "content", mtime: str | None = None) -> DataFrame:
-    """Writes each row's bytes below folder through Hadoop's file systems' local path (a folder all executors share) and
-    returns name, path, bytes. Names that leave the folder are errors; a trailing / makes a folder."""
+    """Writes each row's bytes below folder, which is a path of the executors' own file system: on a cluster, one that is
+    mounted on all of them. (Tables go through Spark's writers, to any file system.) Returns name, path, bytes. Names that leave the folder are errors; a trailing / makes a folder."""
     import os
 
     import pandas as pd
@@ -64,8 +65,10 @@ def write_bytes(rows: DataFrame, folder: str, name: str = "name", content: str =
 
 
 def handle_names(rows: DataFrame, kind: str = "type", order: str = "pos") -> DataFrame:
-    """rows with name: handle-<n>.<ending>, numbered in order."""
-    from pyspark.sql import Window
-
+    """rows with name: handle-<n>.<ending>, numbered in order. Rows are sorted over all partitions; what is gathered is
+    how many each has."""
     endings = F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair))
-    return rows.withColumn("name", F.concat(F.lit("handle-"), F.row_number().over(Window.orderBy(order)).cast("string"), F.lit("."), F.coalesce(endings[F.col(kind)], F.lit("bin"))))
+    spark, schema = rows.sparkSession, T.StructType([*rows.schema, T.StructField("_n", T.LongType())])
+    numbered = rows.orderBy(order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
+    name = F.concat(F.lit("handle-"), F.col("_n").cast("string"), F.lit("."), F.coalesce(endings[F.col(kind)], F.lit("bin")))
+    return spark.createDataFrame(numbered, schema).withColumn("name", name).drop("_n")

@@ -19,9 +19,11 @@ Transition = Callable[[State, int, float, bool], tuple[State, str]]
 
 
 def bucket(capacity: float, per_ms: float) -> tuple[State, str, Transition]:
-    """State: tokens, last ms (-1 at first)."""
+    """State: tokens, last ms (-1 at first). A negative cost is an error, as it would add tokens."""
 
     def step(s: State, now: int, cost: float, ok: bool) -> tuple[State, str]:
+        if cost < 0:
+            raise ValueError("cost must not be negative")
         tokens, last = s
         tokens = min(capacity, tokens + (max(0, now - last) * per_ms if last >= 0 else 0.0))
         return ((tokens - cost, now), "granted") if tokens >= cost else ((tokens, now), "denied")
