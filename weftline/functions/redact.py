@@ -8,6 +8,7 @@ test says whether the text may have a match.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -130,3 +131,44 @@ def with_redaction(df: DataFrame, text: str = "text", types: Sequence[str] | Non
     pairs = F.array(*(F.struct(F.lit(kind).alias("key"), n.cast("int").alias("value")) for kind, n in sums.items())) if sums else F.expr("cast(array() as array<struct<key:string,value:int>>)")
     df = df.withColumns({out: F.col(f"_text{len(found)}"), counts: F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))})
     return df.drop(*(f"_text{i}" for i in range(len(found) + 1)), *(c for _, c in found))
+
+
+# ---------- one text in Python, for leaves of a spec ----------
+
+
+def redact_text(text: str, types: Sequence[str] | None = None) -> tuple[str, dict[str, int]]:
+    """A text after the same passes, and the hits by type."""
+    unknown = set(types or ()) - set(TYPES)
+    if unknown:
+        raise ValueError(f"unknown redaction types: {', '.join(sorted(unknown))}")
+    if len(text) > MAX_TEXT:
+        raise ValueError(f"text input is larger than {MAX_TEXT} bytes")
+    counts: dict[str, int] = {}
+    for name, step in PASSES.items():
+        if types is not None and step.kind not in types:
+            continue
+        made, at, hits = [], 0, 0
+        for m in re.finditer(step.pattern, text):
+            if ACCEPTED.get(name, lambda m, t: True)(m, text):
+                made += [text[at : m.start()], token(step.kind)]
+                at, hits = m.end(), hits + 1
+        text = "".join([*made, text[at:]])
+        if hits:
+            counts[step.kind] = counts.get(step.kind, 0) + hits
+    return text, counts
+
+
+def _luhn(m: re.Match, text: str) -> bool:
+    digits = [int(c) for c in m[0] if "0" <= c <= "9"]
+    doubled = [d * 2 - 9 * (d > 4) for d in digits[-2::-2]]
+    return 13 <= len(digits) <= 19 and (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0
+
+
+def _labelled(m: re.Match, text: str) -> bool:
+    sides = text[max(0, m.start() - LABEL_DISTANCE) : m.start()], text[m.end() : m.end() + LABEL_DISTANCE]
+    return any(re.search(LABEL, side) for side in sides)
+
+
+ACCEPTED: dict[str, Callable[[re.Match, str], bool]] = {
+    "ssn_bare": _labelled, "credit_card": _luhn, "ip": lambda m, text: ":" in m[0] or all(int(p) <= 255 for p in m[0].split(".")),
+}

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import formats, images, pdf, redact, values
 from weftline.operators import combinators as c
-from weftline.operators import folds, reconcile, runs, telemetry
-from weftline.plans import spec
+from weftline.operators import folds, reconcile, runs, sinks, telemetry
+from weftline.plans import run, spec
 from weftline.sources import archive, blobs
 from weftline.operators.partitions import shared_dir, spread
 from weftline.streaming import twins
@@ -494,6 +495,82 @@ def describe_schema(spark, table):
     return spark.createDataFrame([(n,) for n in spec.describe()["leaves"]], "leaf string")
 
 
+# ---------- running specs ----------
+
+#: Redacts each document of a run, unites them, and sends the result's handle to two sinks.
+UNITE = {
+    "tag": "pipe",
+    "steps": [
+        {"tag": "map", "concurrency": 4, "op": {"tag": "pipe", "steps": [
+            {"tag": "leaf", "name": "wrapHandle"}, {"tag": "leaf", "name": "redact", "params": {"types": ["email"]}}, {"tag": "leaf", "name": "unwrapHandle"},
+        ]}},
+        {"tag": "reconcile", "opts": {"mode": "faithful-union"}},
+        {"tag": "sink", "targets": ["store", {"name": "log", "opts": {"retries": 2}}]},
+    ],
+}
+#: Documents (by id) that are one run's input.
+RUN_BLOCK = 50
+
+
+@query(rf"""WITH d AS (SELECT lang, doc_id // {RUN_BLOCK} AS block, doc_id, regexp_replace(coalesce(text, ''), '{EMAIL_SQL}', '[REDACTED:email]', 'g') AS t FROM documents),
+f AS (SELECT lang, block, sha256(t) AS sha, arg_min(t, doc_id) AS t, min(doc_id) AS p FROM d GROUP BY ALL),
+u AS (SELECT lang || '-' || block AS run_id, string_agg('<!-- source: cas/' || sha || ' -->' || chr(10) || t, chr(10) || chr(10) ORDER BY p) AS text FROM f GROUP BY ALL)
+SELECT run_id, true AS ok, sha256(text) AS sha256, strlen(text)::BIGINT AS size, 'log,store' AS sent, sha256(text) AS logged FROM u""")
+def run_spec_redact_reconcile_sink(spark, table):
+    """A run for each language and block of ids: its documents' texts as bytes, redacted, united, and sent to two sinks."""
+    one = F.struct("doc_id", F.base64(F.coalesce("text", F.lit("")).cast("binary")).alias("base64"))
+    rows = table("documents").groupBy(F.concat_ws("-", "lang", reconcile.blocks(F.col("doc_id"), RUN_BLOCK).cast("string")).alias("run_id")).agg(F.array_sort(F.collect_list(one)).alias("docs"))
+    given = F.to_json(F.transform("docs", lambda d: F.struct(F.lit(True).alias("$handle"), d["base64"].alias("base64"), F.lit("text/plain").alias("type"))))
+    done = run.run_spec(spread(rows.select("run_id", given.alias("input"))), UNITE, run.Host(sinks=("log",)))
+    log = f"{shared_dir(spark)}/weftline-log-{uuid.uuid4().hex[:12]}"
+    done.send({"log": sinks.parquet(log)})
+    logged = spark.read.schema("run_id string, content string").parquet(log).select("run_id", F.get_json_object("content", "$.sha256").alias("logged"))
+    sent = done.sunk.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("sent"))
+    out = done.results.select("run_id", "ok", F.get_json_object("result", "$.sha256").alias("sha256"), F.get_json_object("result", "$.size").cast("long").alias("size"))
+    return out.join(sent, "run_id").join(logged, "run_id")
+
+
+STEADY = {"tag": "pipe", "steps": [{"tag": "leaf", "name": "check"}, {"tag": "leaf", "name": "unsteady"}, {"tag": "leaf", "name": "measure"}]}
+FALLBACK = {"tag": "pipe", "steps": [{"tag": "catch", "try": {"tag": "leaf", "name": "unsteady"}, "catch": {"tag": "leaf", "name": "check"}}, {"tag": "leaf", "name": "measure"}]}
+
+
+def _document_leaves(steady: bool) -> dict:
+    """Leaves over {id, text}: unsteady fails for every third id unless steady."""
+
+    def unsteady(v, own):
+        if v["id"] % 3 == 0 and not steady:
+            raise RuntimeError("down")
+        return v
+
+    return {"check": lambda v, own: v, "unsteady": unsteady, "measure": lambda v, own: len(v["text"])}
+
+
+def _document_runs(table):
+    given = F.to_json(F.struct(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    return spread(table("documents").select(F.col("doc_id").cast("string").alias("run_id"), given.alias("input")))
+
+
+@query("SELECT doc_id::VARCHAR AS run_id, doc_id % 3 > 0 AS ok_before, true AS ok, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END::BIGINT AS nodes_run, length(coalesce(text, ''))::VARCHAR AS result, CASE WHEN doc_id % 3 = 0 THEN 'in-progress' ELSE 'done' END AS status_before FROM documents")
+def run_spec_resume(spark, table):
+    """Runs of which a third fails at the second step, resumed: what was done is not done again."""
+    rows = _document_runs(table)
+    before = run.run_spec(rows, STEADY, run.Host(leaves=_document_leaves(False)))
+    after = run.run_spec(rows, STEADY, run.Host(leaves=_document_leaves(True)), previous=before.table)
+    nodes = after.table.select("run_id", "ok", "result", F.size(F.filter("trace", lambda e: e["kind"] == "node-enter")).cast("long").alias("nodes_run"))
+    was = before.results.select("run_id", F.col("ok").alias("ok_before")).join(run.status(rows, STEADY, before.table).select("run_id", F.col("status").alias("status_before")), "run_id")
+    return nodes.join(was, "run_id").select("run_id", "ok_before", "ok", "nodes_run", "result", "status_before")
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS bad FROM documents)
+SELECT '' AS path, 'pipe' AS name, n AS spans, 0 AS errors, 0 AS with_parent FROM n UNION ALL SELECT '0', 'catch', n, 0, n FROM n UNION ALL SELECT '0/try', 'leaf:unsteady', n, bad, n FROM n
+UNION ALL SELECT '0/catch', 'leaf:check', bad, 0, bad FROM n UNION ALL SELECT '1', 'leaf:measure', n, 0, n FROM n""")
+def run_spec_trace(spark, table):
+    """The spans of the nodes that runs went through, by path."""
+    done = run.run_spec(_document_runs(table), FALLBACK, run.Host(leaves=_document_leaves(False)))
+    spans = telemetry.spans(done.trace)
+    return spans.groupBy("path", "name").agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "ERROR").alias("errors"), F.count("parent_call_id").alias("with_parent"))
+
+
 # ---------- formats ----------
 
 ODD_TEXTS = "CASE doc_id % 8 WHEN 0 THEN '42' WHEN 1 THEN 'name: Ada' WHEN 2 THEN 'a,b,c' WHEN 3 THEN '<a/>' WHEN 4 THEN '  [1]' WHEN 5 THEN '- x' WHEN 6 THEN '' ELSE 'plain words' END"
@@ -725,8 +802,6 @@ def pdf_pages_and_shrink(spark, table):
 
 def streamed(spark, table, of) -> DataFrame:
     """The decisions of a stream over the events, read as files with all that is there, in one run."""
-    import uuid
-
     events = table("events")
     source = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), _ms().alias("at_ms"), (1 + F.col("event_id") % 5).cast("double").alias("cost"), (F.col("event_type") != "error").alias("ok"))
     base = f"{shared_dir(spark)}/weftline-stream-{uuid.uuid4().hex[:12]}"
