@@ -70,6 +70,87 @@ def test_bucket_memo_abort():
     assert not w.events
 
 
+def test_gate_adapts_and_bounds_calls_at_once():
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    now, most, lock = [0], [0], threading.Lock()
+
+    def leaf(v, key):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        if v == "bad":
+            raise ValueError("no")
+        return v
+
+    told = []
+    governor = g.Governor("svc", g.Policy(concurrency=(2, 1, 3)), on_event=lambda e: told.append(e["kind"]))
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(lambda v: governor.call(leaf, v), range(20))) == list(range(20))
+    assert most[0] <= 3 and governor.gate.limit == 3 and "aimd-increase" in told
+    with pytest.raises(ValueError):
+        governor.call(leaf, "bad")
+    assert governor.gate.limit == 1 and told[-1] == "aimd-decrease"
+    heavy, most[0] = g.Governor("svc", g.Policy(concurrency=4, heavy=1)), 0
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda v: heavy.call(leaf, v, heavy=True), range(6)))
+    assert most[0] == 1
+
+
+def test_equal_calls_at_once_are_made_once():
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    made = []
+    governor = g.Governor("svc", g.Policy(concurrency=8, memo=True))
+    with ThreadPoolExecutor(8) as pool:
+        out = list(pool.map(lambda v: governor.call(lambda x, key: (time.sleep(0.02), made.append(x), x)[2], v), ["a"] * 8))
+    assert out == ["a"] * 8 and made == ["a"]
+
+
+def test_abort_ends_running_jobs(spark):
+    import threading
+    import time
+
+    over = threading.Event()
+
+    def end():
+        while not over.wait(0.5):
+            g.abort(spark, "long")
+
+    ender = threading.Thread(target=end)
+    ender.start()
+    try:
+        with pytest.raises(Exception, match="cancel"), g.abortable(spark, "long"):
+            spark.range(2).mapInPandas(lambda frames: (time.sleep(20) or f for f in frames), "id long").count()
+    finally:
+        over.set()
+        ender.join()
+
+
+def test_parallel_tables_and_retried_sinks(spark):
+    from weftline.operators import combinators as c
+
+    rows = spark.range(3)
+    both = c.parallel_tables(rows, lambda d: d.selectExpr("id", "id * 2 as twice"), lambda d: d.where("id > 1"))
+    assert sorted((r.branch, r.id, r.twice) for r in both.where("branch = 0").collect()) == [(0, 0, 0), (0, 1, 2), (0, 2, 4)]
+    assert [(r.branch, r.id, r.twice) for r in both.where("branch = 1").collect()] == [(1, 2, None)]
+    tries = []
+
+    def sink(df, options):
+        tries.append(options["retries"])
+        if len(tries) < 2:
+            raise OSError("down")
+
+    c.fan_out(rows, [("s", {"retries": 1})], {"s": sink})
+    assert tries == [1, 1]
+
+
 def test_governed_column(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "v string")
 

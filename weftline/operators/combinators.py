@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.governed import Governor, Policy
+
 Step = Callable[[Column], Column]
 MOST_BRANCHES = 32
 
@@ -122,6 +124,14 @@ def failures(attempts: Column, label: str) -> Column:
     return F.when(F.size(bad) == 1, F.element_at(bad, 1)["error"]).when(F.size(bad) > 1, F.concat(F.lit(f"{label}: "), F.size(bad).cast("string"), F.lit(" concurrent failures")))
 
 
+def parallel_tables(rows: DataFrame, *branches: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Branches over the same table, their rows under one another with branch: its place. Columns meet by name; those that a
+    branch lacks are null."""
+    _bounded(branches, "parallel")
+    made = [b(rows).withColumn("branch", F.lit(i)) for i, b in enumerate(branches)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+
+
 def ask(rows: DataFrame, value: str, key: str, answers: DataFrame | None, on_timeout: str) -> DataFrame:
     """rows with value replaced by its answer. answers: key, answered, value. Answered without a value lets the value
     pass; unanswered rows pass or fail by on_timeout."""
@@ -139,7 +149,8 @@ def fan_out(rows: DataFrame, targets: Sequence[str | tuple[str, Mapping[str, Any
     """Writes rows to each target and returns them. A target's own options go over the common ones, field by field.
 
     All targets are known before the first is written. storage (for example a write to a shared folder and
-    back) is applied once, so that what is costly to make is made once for all targets.
+    back) is applied once, so that what is costly to make is made once for all targets. A target's retries try again
+    with growing delays; a target that fails lets the others finish.
     """
     _bounded(targets, "sink")
     named = [(t, {}) if isinstance(t, str) else t for t in targets]
@@ -149,8 +160,10 @@ def fan_out(rows: DataFrame, targets: Sequence[str | tuple[str, Mapping[str, Any
     kept = storage(rows) if storage else rows
     failed = []
     for name, own in named:
+        both = {**(options or {}), **own}
+        governor = Governor(f"sink:{name}", Policy(retries=both.get("retries") or 0))
         try:
-            sinks[name](kept, {**(options or {}), **own})
+            governor.call(lambda _, key, name=name, both=both: sinks[name](kept, both), name)
         except Exception as e:
             failed.append(e)
     if failed:
