@@ -95,6 +95,15 @@ def test_distances_are_those_of_the_least_determinant(spark, seed):
     assert (want[:40] > x.LIMIT).all() and (want[40:] < x.LIMIT).all()
 
 
+def test_values_that_are_all_the_same(spark):
+    """In every column, in one, and in none but for one row."""
+    columns = "row long, part string, " + ", ".join(f"{n} double" for n in x.VECTOR)
+    same = [(i, "a", 1.0, 0.0, 0.0, 0.0) for i in range(60)] + [(100 + i, "b", 1.0 + i % 7 / 100, 0.0, 0.3, 0.0) for i in range(60)]
+    rows = spark.createDataFrame([*same, (60, "a", 9.0, 0.0, 0.0, 0.0)], columns)
+    far = {r.row: r.d for r in rows.join(x.estimates(rows), "part").select("row", x.distance(list(x.VECTOR)).alias("d")).collect()}
+    assert len(far) == 121 and [i for i, d in far.items() if d > x.LIMIT] == [60]
+
+
 def test_kept_against_brute_force(spark):
     """The verdicts over a whole table, from texts to kept."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -185,7 +185,9 @@ def starts(rows: DataFrame, tables: Tables) -> DataFrame:
     edges = tables.write(scaled.groupBy("part").agg(F.percentile_approx("far", 0.5, 10_000).alias("edge")), "half-edges")
     scaled = scaled.join(if_small(edges), "part")
     near = F.col("far") <= F.col("edge")
-    sums = [F.corr(f"t{i}", f"t{j}").alias(f"r{i}{j}") for i, j in cells(n) if i != j]
+    # F.corr divides by zero where a value is the same in all of a group
+    spread = [F.stddev_pop(f"t{i}") for i in range(n)]
+    sums = [F.try_divide(F.covar_pop(f"t{i}", f"t{j}"), spread[i] * spread[j]).alias(f"r{i}{j}") for i, j in cells(n) if i != j]
     sums += [F.avg(F.when(near, F.col(v))).alias(f"h{i}") for i, v in enumerate(names)]
     sums += [F.covar_pop(F.when(near, F.col(names[i])), F.when(near, F.col(names[j]))).alias(f"k{i}{j}") for i, j in cells(n)]
     made = tables.write(scaled.groupBy("part").agg(*sums).join(if_small(middle), "part"), "start-sums")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, url_filters
-from .shared import public_tokenizer, table
+from .shared import public_tokenizer, spread, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +17,16 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = near_dedup.mark_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+    marks = near_dedup.mark_near_copies(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), shingle=4)
     return marks.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_model.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer(token_counts.VOCABULARY))
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizer(token_counts.VOCABULARY))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer(packing.TOKENIZER))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizer(packing.TOKENIZER))
 
 
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and fixed limits of op8_quality_rules, without its outliers."""
-    based = quality_rules.with_base(quality_rules.statistics(table(spark, sf_dir, "documents")))
+    based = quality_rules.with_base(quality_rules.statistics(spread(table(spark, sf_dir, "documents"))))
     return based.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 

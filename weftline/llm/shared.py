@@ -77,6 +77,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its source has fewer (a small file of one row group, say). Large
+    inputs have more splits than that, and aren't shuffled. For work that costs much more than a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def public_tokenizer(name: str) -> str:
     """The path of one of the public tokenizers' files, where that package is installed."""
     import public_tokenizers
