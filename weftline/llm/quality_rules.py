@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Tables, if_small, text_of
+from .shared import BROADCAST_ROWS, SPACE, Tables, if_small, text_of
 
 #: Limits of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -152,14 +152,14 @@ def distance(names: list[str]) -> Column:
 
 def factored(groups: DataFrame, floors: list[float]) -> DataFrame:
     """part, m<i> and c<i><j> to part, m<i> and the Cholesky factor of the covariance with the floors' squares on its diagonal."""
-    n = len(floors)
-    for i in range(n):
-        for j in range(i + 1):
-            value = F.col(f"c{i}{j}") * CONSISTENCY + (floors[i] ** 2 if i == j else 0)
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
-    return groups.drop(*(f"c{i}{j}" for i in range(n) for j in range(i + 1)))
+    n, factor = len(floors), {}
+    for i, j in cells(n):
+        value = F.col(f"c{i}{j}") * CONSISTENCY + (floors[i] ** 2 if i == j else 0)
+        for k in range(j):
+            value = value - factor[i, k] * factor[j, k]
+        factor[i, j] = F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / factor[j, j]
+    kept = [c for c in groups.columns if c not in {f"c{i}{j}" for i, j in cells(n)}]
+    return groups.select(*kept, *(v.alias(f"l{i}{j}") for (i, j), v in factor.items()))
 
 
 def log_determinant(n: int) -> Column:
@@ -206,18 +206,21 @@ def estimates(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
     names, floors = list(VECTOR), list(VECTOR.values())
     n = len(names)
     model = tables.write(starts(rows, tables).withColumns({"det": F.lit(float("inf")), "ended": F.lit(False)}), "start")
+    # a few rows a group: all tables joined here have no more than this one
+    marked = F.broadcast if model.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    parameters = [c for c in model.columns if c[0] in "ml" and c[1:].isdigit()]
     while True:
-        open_ = model.where("not ended").drop("ended").withColumnRenamed("det", "was")
-        far = rows.join(if_small(open_), "part").select("part", "start", "was", *names, distance(names).alias("far"))
-        edges = tables.write(far.groupBy("part", "start").agg(F.percentile_approx("far", CORE, 10_000).alias("edge")), "edges")
-        core = far.join(if_small(edges), ["part", "start"]).where(F.col("far") <= F.col("edge"))
+        open_ = model.where("not ended").select("part", "start", *parameters)
+        far = rows.join(marked(open_), "part").select("part", "start", *names, distance(names).alias("far"))
+        edges = far.groupBy("part", "start").agg(F.percentile_approx("far", CORE, 10_000).alias("edge"))
+        core = far.join(marked(edges), ["part", "start"]).where(F.col("far") <= F.col("edge"))
         moments = [F.avg(v).alias(f"m{i}") for i, v in enumerate(names)] + [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in cells(n)]
-        step = factored(core.groupBy("part", "start", "was").agg(*moments), floors).withColumn("det", log_determinant(n))
-        step = step.withColumn("ended", F.col("det") > F.col("was") - FALL)
-        # a step that doesn't lower the determinant is not taken
-        step = tables.write(step, "step")
-        kept = model.join(if_small(step.where("ended").select("part", "start")), ["part", "start"], "left_semi").withColumn("ended", F.lit(True))
-        model = tables.write(model.where("ended").unionByName(kept).unionByName(step.where("not ended").drop("was")), "model")
+        step = factored(core.groupBy("part", "start").agg(*moments), floors).withColumn("det", log_determinant(n))
+        step = step.select("part", "start", F.struct(*parameters, "det").alias("new"))
+        # a step that doesn't lower the determinant is not taken, and is the last one
+        falls = ~F.col("ended") & F.coalesce(F.col("new.det") <= F.col("det") - FALL, F.lit(False))
+        taken = [F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*parameters, "det")]
+        model = tables.write(model.join(marked(step), ["part", "start"], "left").select("part", "start", *taken, (~falls).alias("ended")), "model")
         if model.where("not ended").isEmpty():
             best = Window.partitionBy("part").orderBy("det", "start")
             return tables.write(model.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "start", "det", "ended"), "best")
