@@ -64,11 +64,16 @@ class WordEncoder:
     def stem(self, word: str) -> bytes:
         """A word or its part before a final full stop or comma. Latin letters only: their lower case and NFC
         are plain, and no rule of the pre-tokenizer cuts them, so the model is asked directly."""
-        if word.isalpha() and max(word) <= "\xff":
-            return array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]).tobytes()
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return self.whole(word)
 
     def word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters only, as most words are
+            return self.stems[raw.lower().decode()]
+        if raw[-1:] in (b".", b",") and raw[:-1].isalpha():
+            return self.stems[raw[:-1].lower().decode()] + self.stems[raw[-1:].decode()]
         word, last = raw.decode(), ""
         if word[-1] in ".," and word[-2:-1].isalpha() and word[-2] <= "\xff":
             word, last = word[:-1], word[-1]
