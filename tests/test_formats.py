@@ -14,8 +14,9 @@ def test_detect(text, kind):
 
 
 def test_yaml_goldens():
-    assert f.to_yaml({"a": [[1, 2], [3, 4]]}) == "a:\n  - - 1\n    - 2\n  - - 3\n    - 4"
-    assert f.parse_yaml("a:\n  - - 1\n    - 2\n  - - 3\n    - 4") == {"a": [[1, 2], [3, 4]]}
+    assert f.to_yaml({"rows": [["x", 7], [8]]}) == "rows:\n  - - x\n    - 7\n  - - 8"
+    assert f.parse_yaml("rows:\n  - - x\n    - 7\n  - - 8") == {"rows": [["x", 7], [8]]}
+    assert f.parse_yaml("k: |2-\n   a\n  b\nm: >+\n  c\n  d\nn: |x") == {"k": " a\nb", "m": "c d\n", "n": "|x"}
     assert f.parse_yaml("k: |\n  line1\n  line2\n") == {"k": "line1\nline2\n"}
     assert f.parse_yaml("k: >\n  line1\n  line2\n") == {"k": "line1 line2\n"}
     assert f.parse_yaml("k: |-\n  line1\n  line2\n") == {"k": "line1\nline2"}
@@ -58,9 +59,9 @@ def test_entities():
 def test_html_to_markdown():
     h = f.html_to_markdown
     assert h("<h1>Title</h1>") == "# Title"
-    assert h("<ul><li>Item 1<ul><li>Sub 1</li></ul></li></ul>") == "- Item 1\n  - Sub 1"
+    assert h("<ul><li>bread<ul><li>rye</li></ul></li></ul>") == "- bread\n  - rye"
     assert h("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>") == "- a\n  1. b\n  2. c\n- d"
-    assert h("<blockquote>Outer<blockquote>Inner</blockquote>tail</blockquote>") == "> Outer\n> > Inner\n> tail"
+    assert h("<blockquote>she said<blockquote>they said</blockquote>and left</blockquote>") == "> she said\n> > they said\n> and left"
     assert h('<p>a <b>b</b> <i>c</i> <a href="/u">d</a> <code>x`y</code></p>') == "a **b** *c* [d](/u) ``x`y``"
     assert h("<pre><code>x &lt; y</code></pre>") == "```\nx < y\n```"
     assert h("<nav>menu</nav><p>x&amp;lt;</p><script>no</script>") == "menu\n\nx&lt;"

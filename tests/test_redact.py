@@ -14,16 +14,16 @@ def run(spark, text, types=None):
 
 
 def test_all_kinds(spark):
-    text, counts = run(spark, "Email a@b.com, call 415-555-0198, SSN 123-45-6789, card 4111 1111 1111 1111, ip 10.0.0.1")
-    assert text == "Email [REDACTED:email], call [REDACTED:phone], SSN [REDACTED:ssn], card [REDACTED:credit_card], ip [REDACTED:ip]"
+    text, counts = run(spark, "Write to kim@post.net or ring 030-1234-567; tax no 321-54-9876, paid with 5500 0000 0000 0004, from 172.16.9.8")
+    assert text == "Write to [REDACTED:email] or ring [REDACTED:phone]; tax no [REDACTED:ssn], paid with [REDACTED:credit_card], from [REDACTED:ip]"
     assert counts == {"email": 1, "phone": 1, "ssn": 1, "credit_card": 1, "ip": 1}
 
 
 @pytest.mark.parametrize("text,types,want", [
-    ("1234567890123456", ["credit_card"], "1234567890123456"), ("999.1.1.1", ["ip"], "999.1.1.1"), ("a@b.com 10.0.0.1", [], "a@b.com 10.0.0.1"),
-    ("SSN: 123456789", ["ssn"], "SSN: [REDACTED:ssn]"), ("order number 123456789", ["ssn"], "order number 123456789"), ("123456789 is my social security no", ["ssn"], "[REDACTED:ssn] is my social security no"),
+    ("5500000000000005", ["credit_card"], "5500000000000005"), ("999.1.1.1", ["ip"], "999.1.1.1"), ("a@b.com 10.0.0.1", [], "a@b.com 10.0.0.1"),
+    ("SSN: 123456789", ["ssn"], "SSN: [REDACTED:ssn]"), ("parcel 246813579", ["ssn"], "parcel 246813579"), ("135792468, a social  security id", ["ssn"], "[REDACTED:ssn], a social  security id"),
     ("xssn " + "." * 40 + "123456789", ["ssn"], "xssn " + "." * 40 + "123456789"), ("éa@b.com", ["email"], "é[REDACTED:email]"), ("::1 and fe80::1:2 and 1:2:3:4:5:6:7:8", ["ip"], "[REDACTED:ip] and [REDACTED:ip] and [REDACTED:ip]"),
-    ("123 45 6789", ["ssn"], "[REDACTED:ssn]"), ("123456789 ssn 123456789", ["ssn"], "[REDACTED:ssn] ssn [REDACTED:ssn]"), ("", None, ""), ("+14155550198", ["phone"], "[REDACTED:phone]"),
+    ("123 45 6789", ["ssn"], "[REDACTED:ssn]"), ("123456789 ssn 123456789", ["ssn"], "[REDACTED:ssn] ssn [REDACTED:ssn]"), ("", None, ""), ("+49301234567", ["phone"], "[REDACTED:phone]"),
 ])
 def test_cases(spark, text, types, want):
     assert run(spark, text, types)[0] == want

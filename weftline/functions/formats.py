@@ -39,7 +39,6 @@ def parse_json(text: str) -> Any:
 PLAIN_NUMBER = re.compile(r"-?\d+(\.\d+)?|-?\d(\.\d+)?[eE][+-]?\d+", re.A)
 INT = re.compile(r"-?(0|[1-9]\d*)", re.A)
 FLOAT = re.compile(r"-?\d*\.\d+|-?\d(\.\d+)?[eE][+-]?\d+", re.A)
-HEADER = re.compile(r"([|>])([+-]?)(\d*)([+-]?)")
 DASH = re.compile(r"-(?=\s|$)")
 
 
@@ -140,11 +139,23 @@ class YamlReader:
         if text[:1] in ("'", '"'):
             m = re.match(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*')\s*:""", text)
             return (str(yaml_scalar(m[1])), text[m.end() :]) if m else None
-        m = re.match(r"([^:]+?):\s*(.*)$", text)
-        return (m[1].strip(), m[2]) if m else None
+        key, colon, rest = text.partition(":")
+        return (key.strip(), rest.lstrip()) if key and colon else None
 
-    def block_scalar(self, header: re.Match, floor: int) -> str:
-        width, body = floor - 1 + int(header[3]) if header[3] else None, []
+    @staticmethod
+    def block_header(text: str) -> tuple[str, int, bool] | None:
+        """Style, stated indent (0: none) and whether the last line feed goes, of what announces a block scalar: a bar or
+        an angle, then an indent with a sign before or after it, either or none."""
+        style, marks = text[:1], text[1:]
+        indent = marks.strip("+-")
+        before, after = marks.split(indent, 1) if indent else (marks[:1], marks[1:])
+        if style not in ("|", ">") or indent and not indent.isdecimal() or max(len(before), len(after)) > 1:
+            return None
+        return style, int(indent or 0), "-" in before + after
+
+    def block_scalar(self, header: tuple[str, int, bool], floor: int) -> str:
+        style, stated, bare = header
+        width, body = floor - 1 + stated if stated else None, []
         while self.at < len(self.lines):
             line = self.lines[self.at]
             indent = len(line) - len(line.lstrip())
@@ -162,12 +173,12 @@ class YamlReader:
             return ""
         text = body[0]
         for before, line in zip(body, body[1:], strict=False):
-            text += ("\n" if header[1] == "|" or not line or not before else " ") + line
-        return text if "-" in (header[2], header[4]) else text + "\n"
+            text += ("\n" if style == "|" or not line or not before else " ") + line
+        return text if bare else text + "\n"
 
     def value(self, rest: str, floor: int) -> Any:
         """What follows a key or dash on its line. The line is already taken."""
-        header = HEADER.fullmatch(rest.strip())
+        header = self.block_header(rest.strip())
         return self.block_scalar(header, floor) if header else yaml_scalar(rest)
 
     def block(self, least: int, depth: int) -> Any:
