@@ -34,7 +34,7 @@ END_ID = 1
 #: Examples that wait in a task's pool; more of them find better fits and cost more time.
 POOL = 512
 #: Distinct words whose ids a task remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,10 +53,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.stems = Remembered(self.word, CACHED_WORDS), Remembered(self.stem, CACHED_WORDS)
+        self.words = Remembered(self.word, CACHED_WORDS)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}  # byte-level alphabet
+        self.marks = {mark: self.whole(mark) for mark in ".,"}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -71,15 +72,15 @@ class WordEncoder:
 
     def word(self, raw: bytes) -> bytes:
         if raw.isalpha():  # ASCII letters only, as most words are
-            return self.stems[raw.lower().decode()]
+            return self.stem(raw.lower().decode())
         if raw[-1:] in (b".", b",") and raw[:-1].isalpha():
-            return self.stems[raw[:-1].lower().decode()] + self.stems[raw[-1:].decode()]
+            return self.stem(raw[:-1].lower().decode()) + self.marks[raw[-1:].decode()]
         word, last = raw.decode(), ""
         if word[-1] in ".," and word[-2:-1].isalpha() and word[-2] <= "\xff":
             word, last = word[:-1], word[-1]
         if word.isalpha() and max(word) <= "\xff":
             word = word.lower()
-        return self.stems[word] + self.stems[last] if last else self.stems[word]
+        return self.stem(word) + self.marks[last] if last else self.stem(word)
 
     def ids(self, text: bytes) -> bytes:
         """32-bit ids of a text in UTF-8. bytes.split() cuts at ASCII white space only."""
